@@ -13,6 +13,7 @@ from .common import table
 from .dedup import dedup_report
 from .html_text import extract_text
 from .langid import language_predictions
+from .lm import corpus_scores
 from .packing import pack_sequences
 from .tokens import token_digests
 from .warc import warc_round_trip
@@ -38,6 +39,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_token_ids": op4_token_ids,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_lm_scores": op7_lm_scores,
     "op8_packing": op8_packing,
     "op9_nearest": op9_nearest,
     "op10_html_text": op10_html_text,
