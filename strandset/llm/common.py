@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -62,8 +63,9 @@ def chunks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
+def text_slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with the texts of a column, null as empty, of about limit characters each."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
+    for a, b in chunks(sizes, limit):
+        part = batch.slice(a, b - a)
+        yield part, [x or "" for x in part.column(column).to_pylist()]

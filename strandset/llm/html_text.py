@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import text_slices
 
 CHUNK_CHARS = 1 << 21
 SHORT, LONG = 70, 200
@@ -256,10 +256,9 @@ def extract_text(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("pa
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = [x or "" for x in batch.column(len(keep)).to_pylist()]
-            for a, b in chunks([len(x) for x in pages], CHUNK_CHARS):
-                texts = [extract(x) for x in pages[a:b]]
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(keep))], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, "text", "n_chars"])
+            for part, pages in text_slices(batch, len(keep), CHUNK_CHARS):
+                texts = [extract(x) for x in pages]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     kept = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in keep)
     return df.select(*keep, page).mapInArrow(run, f"{kept}, text string, n_chars bigint")

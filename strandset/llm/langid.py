@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LETTER, classes
-from .common import chunks
+from .common import text_slices
 
 DIMENSIONS = 1024
 ORDER = 3
@@ -125,12 +125,12 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in chunks([len(x) for x in texts], CHUNK_CHARS):
-                names = sorted(set(langs[a:b]))
+            for part, texts in text_slices(batch, 1, CHUNK_CHARS):
+                langs = part.column(0).to_pylist()
+                names = sorted(set(langs))
                 index = {x: i for i, x in enumerate(names)}
-                grams, owner = ngrams(texts[a:b])
-                of = np.array([index[x] for x in langs[a:b]])
+                grams, owner = ngrams(texts)
+                of = np.array([index[x] for x in langs])
                 for name, row in zip(names, bundles(of[owner], grams, len(names)), strict=True):
                     sums[name] = sums.get(name, 0) + row
         if sums:
@@ -156,21 +156,21 @@ def classify(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in chunks([len(x) for x in texts], CHUNK_CHARS):
-                grams, owner = ngrams(texts[a:b])
-                vectors = bundles(owner, grams, b - a)
+            for part, texts in text_slices(batch, 1, CHUNK_CHARS):
+                n = len(texts)
+                grams, owner = ngrams(texts)
+                vectors = bundles(owner, grams, n)
                 size = np.linalg.norm(vectors, axis=1)
                 size[size == 0] = 1
                 cosines = (vectors @ matrix) / size[:, None]
-                seen = np.bincount(owner, minlength=b - a) > 0
+                seen = np.bincount(owner, minlength=n) > 0
                 if names:
                     best = cosines.argmax(axis=1)
                     pred = [names[i] if ok else UNDETERMINED for i, ok in zip(best.tolist(), seen.tolist(), strict=True)]
                     score = np.where(seen, np.clip(cosines.max(axis=1), 0, 1), 0.0)
                 else:
-                    pred, score = [UNDETERMINED] * (b - a), np.zeros(b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pred), pa.array(score)], ["key", "lang_pred", "score"])
+                    pred, score = [UNDETERMINED] * n, np.zeros(n)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred), pa.array(score)], ["key", "lang_pred", "score"])
 
     source = df.selectExpr(f"`{key}` as key", f"`{text}` as text")
     return source.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("key", key)
@@ -192,15 +192,13 @@ def known_language(df: DataFrame, prototypes: dict[str, np.ndarray], least: floa
         at = names.index("text")
         unit = np.stack([v / np.linalg.norm(v) for v in matrix.values()], axis=1) if matrix else np.zeros((DIMENSIONS, 0))
         for batch in batches:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
-            keep = np.zeros(len(texts), bool)
-            for a, b in chunks([len(x) for x in texts], CHUNK_CHARS):
-                grams, owner = ngrams(texts[a:b])
-                vectors = bundles(owner, grams, b - a)
-                size = np.linalg.norm(vectors, axis=1)
+            for part, texts in text_slices(batch, at, CHUNK_CHARS):
+                grams, owner = ngrams(texts)
+                enough = np.bincount(owner, minlength=len(texts))
+                keep = enough > 0
                 if matrix:
-                    enough = np.bincount(owner, minlength=b - a)
-                    keep[a:b] = (enough > 0) & ((enough < evidence) | ((vectors @ unit).max(axis=1) >= least * size))
-            yield batch.filter(pa.array(keep))
+                    vectors = bundles(owner, grams, len(texts))
+                    keep &= (enough < evidence) | ((vectors @ unit).max(axis=1) >= least * np.linalg.norm(vectors, axis=1))
+                yield part.filter(pa.array(keep))
 
     return df.mapInArrow(run, df.schema)

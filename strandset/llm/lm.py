@@ -34,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize
+from .common import materialize, text_slices
 from .words import mix, word_hashes
 
 BLOCK = 1 << 21
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 WORD_BITS = 56
 WORD_MASK = np.uint64((1 << WORD_BITS) - 1)
 END = np.uint64(0)
@@ -103,15 +103,13 @@ def make_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "tokens", "keys", "unnamed", "held", "sizes", "words", "stream"])
 
     for batch in batches:
-        texts = [x or "" for x in batch.column(2).to_pylist()]
-        names, folds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in chunks([len(x) for x in texts], CHUNK_CHARS):
-            found, counts = word_hashes(texts[a:b])
+        for part, texts in text_slices(batch, 2, CHUNK_CHARS):
+            found, counts = word_hashes(texts)
             found = np.maximum(found & WORD_MASK, np.uint64(1))
             hashes.append(np.insert(found, np.cumsum(counts), END))
             sizes.append(counts + 1)
-            keys += names[a:b]
-            held += folds[a:b]
+            keys += part.column(0).to_pylist()
+            held += part.column(1).to_pylist()
             total += len(hashes[-1])
             if total >= BLOCK:
                 yield emit()

@@ -14,6 +14,7 @@ from .dedup import dedup_report
 from .html_text import extract_text
 from .langid import language_predictions
 from .lm import corpus_scores
+from .ngram_join import component_report
 from .packing import pack_sequences
 from .tokens import token_digests
 from .warc import warc_round_trip
@@ -39,6 +40,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return component_report(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_scores(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_token_ids": op4_token_ids,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_ngram_join": op6_ngram_join,
     "op7_lm_scores": op7_lm_scores,
     "op8_packing": op8_packing,
     "op9_nearest": op9_nearest,
