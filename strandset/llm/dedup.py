@@ -23,7 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scratch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, with logs of changes for checkpoints, and no more open at once than there are tasks.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -63,16 +68,15 @@ def stream_groups(spark: SparkSession, digests: str, schema: str, checkpoint: st
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     changes = spark.read.schema("digest string, best struct<size:bigint, unnamed:boolean, doc_id:bigint, file:string, row:bigint>, copies bigint, batch bigint").parquet(out)
     if len({x.batch for x in changes.select("batch").distinct().collect()}) <= 1:  # one row a batch
         return changes.drop("batch")
@@ -99,7 +103,8 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", digest=
     # The check of full bytes: one row for each text of each digest that was hit.
     hits = rows.join(groups.where("copies > 1").select("digest"), "digest", "left_semi").select("file", "row", "digest")
     hits = materialize(hits, "dedup-hits")
-    contents = located.select(F.col("__file").alias("file"), F.col("__row").alias("row"), body.alias("body")).join(hits, ["file", "row"]).groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
+    # By sorting and merging at every size: hits grow with the table.
+    contents = located.select(F.col("__file").alias("file"), F.col("__row").alias("row"), body.alias("body")).join(hits.hint("merge"), ["file", "row"]).groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
     collided = materialize(contents.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "dedup-collisions")
     if not collided.isEmpty():
         again = located.select(F.col("__file").alias("file"), F.col("__row").alias("row"), body.alias("body"))
