@@ -27,7 +27,7 @@ def library_size(pairs: Column, dups: Column) -> Column:
     """Unique molecules in a library of which `pairs` were seen, `dups` of them again; null where that has no answer."""
     n, unique = pairs.cast("double"), (pairs - dups).cast("double")
     powers = F.transform(F.sequence(F.lit(2), F.lit(12)), lambda i: F.pow(F.lit(10.0), i))
-    high = F.element_at(F.filter(powers, lambda x: ~(excess(x, n, unique) > 0)), 1)  # null: past LARGEST
+    high = F.get(F.filter(powers, lambda x: ~(excess(x, n, unique) > 0)), F.lit(0))  # null: past LARGEST
 
     def halve(state: Column, _: Column) -> Column:
         middle = (state["low"] + state["high"]) / 2

@@ -26,7 +26,7 @@ def tag_value(df: DataFrame, tag: str | None) -> Column:
         return F.lit(None).cast("string")
     if tag.lower() in df.columns:
         return F.col(tag.lower())
-    entry = F.element_at(F.filter("tags", lambda t: t["tag"] == tag), 1) if "tags" in df.columns else F.lit(None)
+    entry = F.get(F.filter("tags", lambda t: t["tag"] == tag), F.lit(0)) if "tags" in df.columns else F.lit(None)
     if "tags" not in df.columns:
         return F.lit(None).cast("string")
     wrong = F.raise_error(F.concat(F.lit(f"tag {tag} is no string: "), entry["value"])).cast("string")
