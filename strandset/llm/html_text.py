@@ -1,7 +1,8 @@
 """Main text of web pages by two passes of rules over blocks.
 
-A page falls into blocks: stretches of text between tags of block elements. The first pass classifies each block by its
-place (inside a boilerplate element or not), link density, length and stop-word density, as good, bad or undecided.
+A page falls into blocks: stretches of text between tags of block elements. Those inside boilerplate elements are left
+out. The first pass classifies each other block by its place (inside an article or not), link density, length and
+stop-word density, as good, bad or undecided.
 In the second pass an undecided block takes the label of the nearest decided block of its own section (the innermost
 article, main, section or div); between equally near ones that differ, and where its section has none, those of the
 whole page count, and blocks inside an article are good.
@@ -196,7 +197,7 @@ GOOD, BAD, UNDECIDED = 1, 0, -1
 
 def first_pass(block: Block) -> int:
     size = len(block.text)
-    if block.out or block.linked > LINKED * size:
+    if block.linked > LINKED * size:
         return BAD
     words = block.text.lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
@@ -246,7 +247,7 @@ def second_pass(found: list[Block], labels: list[int]) -> list[int]:
 
 
 def extract(page: str) -> str:
-    found = blocks(page)
+    found = [x for x in blocks(page) if not x.out]  # what stands in boilerplate elements tells nothing about its neighbours
     labels = second_pass(found, [first_pass(x) for x in found])
     return "\n".join([x.text for x, label in zip(found, labels, strict=True) if label == GOOD])
 
