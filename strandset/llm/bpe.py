@@ -17,6 +17,7 @@ import functools
 import hashlib
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import text_slices
 
 CHUNK_CHARS = 1 << 20
 CACHE_PIECES = 1 << 18  # in each of two generations
@@ -32,6 +33,14 @@ CACHE_PIECES = 1 << 18  # in each of two generations
 # The code points of the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
+# Letters and numbers that Unicode 16 added to those of 15.1, for interpreters with the older tables.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+
 OTHER, LETTER, NUMBER, SPACE = range(4)
 # The automaton's alphabet.
 SYM_L, SYM_N, SYM_P, SYM_SHORT, SYM_LONG, SYM_WS, SYM_WS_LAST, SYM_BLANK_LAST, SYM_RESET = range(9)
@@ -84,6 +93,9 @@ def classes() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
     for start in range(0, 0x110000, 0x1000):
         found[start : start + 0x1000] = [kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(start, start + 0x1000)]
+    for ranges, kind in ((NEW_LETTERS, LETTER), (NEW_NUMBERS, NUMBER)):
+        for first, last in ranges:
+            found[first : last + 1] = kind
     found[WHITE_SPACE] = SPACE
     return found
 
@@ -213,15 +225,20 @@ class PieceCache:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young = self.young
-        missing = []
-        for piece in set(pieces).difference(young):
-            if (held := self.old.get(piece)) is None:
-                missing.append(piece)
-            else:
-                young[piece] = held
-        for piece, ids in zip(missing, unseen(missing), strict=True):
-            young[piece] = np.array(ids, "<u4").tobytes()
-        coded, at = list(map(young.__getitem__, pieces)), first.tolist()
+        coded = list(map(young.get, pieces))
+        gaps = [i for i, x in enumerate(coded) if x is None]
+        if gaps:
+            missing = []
+            for piece in {pieces[i] for i in gaps}:
+                if (held := self.old.get(piece)) is None:
+                    missing.append(piece)
+                else:
+                    young[piece] = held
+            for piece, ids in zip(missing, unseen(missing), strict=True):
+                young[piece] = array("I", ids).tobytes()
+            for i in gaps:
+                coded[i] = young[pieces[i]]
+        at = first.tolist()
         return [np.frombuffer(b"".join(coded[a:b]), "<u4") for a, b in zip(at, at[1:], strict=False)]
 
 
@@ -255,9 +272,8 @@ def encode_batches(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[tup
     """Of (id, text) batches: the ids' column and the token ids, a bounded number of characters at a time."""
     own = encoder(path)
     for batch in batches:
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        for a, b in chunks([len(x) for x in texts], CHUNK_CHARS):
-            yield batch.column(0).slice(a, b - a), own.encode(texts[a:b])
+        for part, texts in text_slices(batch, 1, CHUNK_CHARS):
+            yield part.column(0), own.encode(texts)
 
 
 def bpe_encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import WHITE_SPACE, PieceCache, split
-from .common import chunks, materialize, scratch
+from .bpe import WHITE_SPACE, PieceCache
+from .common import materialize, scratch, text_slices
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 BLOCK = 1024
 MAGIC = int.from_bytes(b"S8BSEG01", "little")
 END = "S8B-END\n"
@@ -40,65 +41,56 @@ COUNTS = np.array([1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int
 
 
 def pack_words(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(words, first word of each block and the end) of unsigned 64-bit values. All blocks advance together, word by word."""
+    """(words, first word of each block and the end) of unsigned 64-bit values."""
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
     if not n:
         return np.empty(0, np.uint64), np.zeros(1, np.int64)
     rows = -(-n // block)
-    grid = np.zeros(rows * block, np.uint64)
-    grid[:n] = values
     size = np.full(rows, block, np.int64)
     size[-1] = n - (rows - 1) * block
-    where = np.arange(block, dtype=np.int16)[None, :]
-    left = size[:, None].astype(np.int16) - where
-    selector = np.zeros((rows, block), np.int8)  # the densest that fits, at each place; else the escape
-    shaped = grid.reshape(rows, block)
-    top = int(values.max())
-    for s in range(15, 1, -1):  # from wide to narrow
-        if top >> int(BITS[s]):
-            over = np.where(shaped >> np.uint64(BITS[s]), where, np.int16(block))
-            run = np.minimum.accumulate(over[:, ::-1], axis=1)[:, ::-1] - where
-            fits = run >= np.minimum(left, np.int16(COUNTS[s]))
-        else:
-            fits = left > 0
-        selector[fits] = s
-        if not fits.any():
-            break
-    at, alive = np.zeros(rows, np.int64), np.arange(rows)
-    words: list[np.ndarray] = []
-    owners: list[np.ndarray] = []
-    ranks: list[np.ndarray] = []
     padded = np.zeros(rows * block + 64, np.uint64)
-    padded[: rows * block] = grid
-    rank = 0
+    padded[:n] = values
+    width = np.frexp(padded.astype(np.float64))[1].astype(np.uint8)  # bits of each value, or one more for huge ones
+    # All blocks choose their words' selectors side by side. A look at the next few values settles most.
+    near = np.arange(10)
+    at, alive = np.zeros(rows, np.int64), np.arange(rows)
+    chosen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(alive):
-        s = selector[alive, at[alive]].astype(np.int64)
         base = alive * block + at[alive]
-        take = np.minimum(COUNTS[s], size[alive] - at[alive])
-        word = np.empty(len(alive), np.uint64)
-        raw = np.flatnonzero(s == 0)
-        for x in np.unique(s[s > 0]):
-            which = np.flatnonzero(s == x)
-            ids = padded[base[which, None] + np.arange(COUNTS[x])]
-            ids[np.arange(COUNTS[x]) >= take[which, None]] = 0
-            word[which] = np.bitwise_or.reduce(ids << (np.arange(COUNTS[x], dtype=np.uint64) * np.uint64(BITS[x])), axis=1) | (np.uint64(x) << np.uint64(60))
-        word[raw] = 0
-        words.append(word)
-        owners.append(alive)
-        ranks.append(np.full(len(alive), rank))
-        if len(raw):
-            words.append(padded[base[raw]])
-            owners.append(alive[raw])
-            ranks.append(np.full(len(raw), rank + 1))
-        rank += 2
+        left = size[alive] - at[alive]
+        seen = width[base[:, None] + near]
+        seen[near >= left[:, None]] = 0
+        top = np.maximum.accumulate(seen, axis=1)
+        s = np.zeros(len(alive), np.int64)
+        for x in range(15, 6, -1):  # from few wide values to many narrow ones
+            s[top[:, COUNTS[x] - 1] <= BITS[x]] = x
+        small = np.flatnonzero(s == 7)
+        if len(small):
+            far = np.arange(60)
+            wide = width[base[small, None] + far]
+            wide[far >= left[small, None]] = 0
+            top = np.maximum.accumulate(wide, axis=1)
+            for x in range(6, 1, -1):
+                s[small[top[:, COUNTS[x] - 1] <= BITS[x]]] = x
+        take = np.minimum(COUNTS[s], left)
+        chosen.append((base, s, take))
         at[alive] += take
         alive = alive[at[alive] < size[alive]]
-    owner = np.concatenate(owners)
-    order = np.lexsort((np.concatenate(ranks), owner))
-    starts = np.zeros(rows + 1, np.int64)
-    np.cumsum(np.bincount(owner, minlength=rows), out=starts[1:])
-    return np.concatenate(words)[order], starts
+    base, selector, take = (np.concatenate(x) for x in zip(*chosen, strict=True))
+    order = np.argsort(base)
+    base, selector, take = base[order], selector[order], take[order]
+    word = np.zeros(len(base), np.uint64)
+    for s in np.unique(selector[selector > 0]):
+        which = np.flatnonzero(selector == s)
+        lane = np.arange(COUNTS[s])
+        ids = padded[base[which, None] + lane]
+        ids[lane >= take[which, None]] = 0
+        word[which] = np.bitwise_or.reduce(ids << (lane.astype(np.uint64) * np.uint64(BITS[s])), axis=1) | (np.uint64(s) << np.uint64(60))
+    raw = np.flatnonzero(selector == 0)
+    per = np.bincount(base // block, weights=1 + (selector == 0), minlength=rows)
+    starts = np.concatenate([[0], np.cumsum(per)]).astype(np.int64)
+    return np.insert(word, raw + 1, padded[base[raw]]), starts
 
 
 def unpack_words(words: np.ndarray, starts: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
@@ -172,9 +164,23 @@ def read_segments(content: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         at += total - 48 + len(end)
 
 
+#: Letters of one case mapping that normalisation leaves alone.
+PLAIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u017e"
+GAP = "".join(map(re.escape, map(chr, WHITE_SPACE)))
+GAP_BUT_BLANK = "".join(re.escape(chr(x)) for x in WHITE_SPACE if x != 0x20)
+CUT = "\x01"
+#: Byte-level vocabularies write printable bytes as themselves, and the others, in order, as the characters from 256 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
+
+
 class LibraryTokenizer:
-    """A tokenizers file behind a cache. Pieces that the pre-tokenizer cannot join are encoded once: by "pieces", those
-    of byte-level pre-tokenisation; by "words", what stands between white space that the normaliser drops."""
+    """A tokenizers file behind a cache. Texts fall into pieces that pre-tokenisation never joins, each encoded once.
+
+    Most texts can be cut before every blank, comma and full stop: where a letter or digit stands before each comma and
+    stop, and no blank stands between white space. Others are cut by a pattern, at white space only. Byte-level files
+    ("bytes") take a blank before a piece as its part and encode other white space; files for words drop it.
+    """
 
     def __init__(self, path: str, by: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -182,20 +188,41 @@ class LibraryTokenizer:
 
         self.own, self.by, self.cache = Tokenizer.from_file(path), by, PieceCache()
         self.own.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words = re.compile("[^%s]+" % "".join(map(re.escape, map(chr, WHITE_SPACE)))).findall
+        word = f"[^{GAP}]+"
+        self.plain = re.compile(f" ?[{PLAIN}]+" if by == "bytes" else f"[{PLAIN}]+").fullmatch
+        self.pattern = re.compile(f" ?{word}|[{GAP}]+(?![^{GAP}])|[{GAP}]+?(?=[{GAP}]?[^{GAP}])" if by == "bytes" else word).findall
+        self.unsafe = re.compile(f"[,.{CUT}](?<![{PLAIN}0-9][,.])").search
+        # What str.split takes for white space and normalisation does not; a blank between white space.
+        self.odd = re.compile("[\x1c-\x1f]" if by != "bytes" else f"[{GAP_BUT_BLANK}] (?:[{GAP}]|\\Z)").search
+
+    def pieces(self, text: str) -> list[str]:
+        if self.unsafe(text) or self.odd(text):
+            return self.pattern(text)
+        if self.by == "bytes":
+            if "  " in text:
+                return self.pattern(text)
+            return text.replace(" ", CUT + " ").replace(",", CUT + ",").replace(".", CUT + ".").split(CUT)
+        return text.replace(",", " ,").replace(".", " .").split()
 
     def unseen(self, pieces: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.own.encode_batch_fast(pieces, add_special_tokens=False)]
+        """Plain words are one pre-token each: the library's model takes them as they are. The rest is encoded in full."""
+        merges, plain = self.own.model.tokenize, self.plain
+        out: list = [None] * len(pieces)
+        rest = []
+        for i, piece in enumerate(pieces):
+            if plain(piece):
+                text = piece if self.by == "bytes" else piece.lower()
+                out[i] = [x.id for x in merges(text.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
+            else:
+                rest.append(i)
+        for i, found in zip(rest, self.own.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = found.ids
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.by == "pieces":
-            joined, begin, stop, first = split(texts)
-            pieces = [joined[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
-        else:
-            found = [self.words(x) for x in texts]
-            pieces = [x for words in found for x in words]
-            first = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
-        return self.cache.ids(pieces, first, self.unseen)
+        found = [self.pieces(x) for x in texts]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+        return self.cache.ids(list(chain.from_iterable(found)), first, self.unseen)
 
 
 @functools.cache
@@ -207,10 +234,8 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str, by: str, end: int) ->
     """Keys and ids, each text's ids followed by the end id, of (key, text) batches."""
     own, last = library_tokenizer(path, by), np.array([end], "<u4")
     for batch in batches:
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        keys = batch.column(0).to_pylist()
-        for a, b in chunks([len(x) for x in texts], CHUNK_CHARS):
-            yield keys[a:b], [np.concatenate([x, last]) for x in own.encode(texts[a:b])]
+        for part, texts in text_slices(batch, 1, CHUNK_CHARS):
+            yield part.column(0).to_pylist(), [np.concatenate([x, last]) for x in own.encode(texts)]
 
 
 def in_key_order(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -263,5 +288,5 @@ def token_digests(df: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
     """Encode, write, read back: per document its place, its number of ids and their CRC-32."""
     spark = df.sparkSession
     out = scratch(spark, "token-files")
-    write_token_files(df, out, lambda batches: encoded(batches, tokenizer, "pieces", end))
+    write_token_files(df, out, lambda batches: encoded(batches, tokenizer, "bytes", end))
     return read_token_files(spark, out, digest=True)
