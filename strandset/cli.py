@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 from .engine import mark_duplicates
 from .operators import checks as C
+from .operators.sorting import in_coordinate_order
 from .options import Options, check_tag
 from .sources.bam import read_bam, read_sam, write_bam
 
@@ -52,6 +53,7 @@ def picard_arguments(words: list[str]) -> dict:
     missing = {"input", "output", "metrics"} - found.keys()
     if missing:
         raise ValueError(f"no {', '.join(sorted(missing))}")
+    found["sort"] = True  # this style takes files in any order
     if "remove" in found:
         found["remove"] = found["remove"].lower() == "true"
     return found
@@ -91,6 +93,9 @@ def run(spark: SparkSession, given: dict, command: str = "strandset") -> None:
     path, temporary = spooled(source)
     try:
         header, alignments = (read_sam if path.endswith(".sam") else read_bam)(spark, path)
+        if given.get("sort") and header.sort_order != "coordinate":
+            alignments = in_coordinate_order(alignments)
+            header = header.sorted_by("coordinate")
         result = mark_duplicates(alignments, header, options)
         if given.get("metrics"):
             with open(given["metrics"], "w") as f:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..storage import exists, materialize, scratch
+from ..operators.sorting import dense_ids
+from ..storage import exists, scratch
 
 ORDER = ["ref_id", "pos", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 READ_GROUPS = [("A", "lib1", 0), ("N", "lib1", 0), ("R", None, 1), ("S", "lib2", 2)]
@@ -24,20 +25,6 @@ def lookup(key: Column, values: dict, other: str | None) -> Column:
     return out.otherwise(other)
 
 
-def dense_ids(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with record_id, dense from 0 in the given order: ranges are sorted and written, then numbered from the counts of
-    the ranges before, of which there are as many as tasks."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    placed = materialize(placed, "numbered")
-    part, at = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    base, bases = 0, []
-    for number, n in sorted(placed.groupBy(part.alias("part")).count().collect()):
-        bases.append((number, base))
-        base += n
-    offsets = df.sparkSession.createDataFrame(bases, "part bigint, base bigint")
-    return placed.join(F.broadcast(offsets), part == F.col("part")).withColumn("record_id", F.col("base") + at).drop("part", "base", "__at")
-
-
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view, made once a session for each folder and then read: record_id, qname, ref_id, pos, cigar, qual, rx, rg, flags."""
     known = (spark.sparkContext.applicationId, sf_dir)

@@ -40,6 +40,11 @@ class Header:
     def sort_order(self) -> str | None:
         return next((x.get("SO") for x in self.of("HD")), None)
 
+    def sorted_by(self, order: str) -> Header:
+        """This header with another sort order."""
+        first = next((f for k, f in self.lines if k == "HD"), {"VN": VERSION})
+        return Header([("HD", dict(first) | {"SO": order}), *[x for x in self.lines if x[0] != "HD"]])
+
     def library_names(self) -> list[str | None]:
         return [x.get("LB") for x in self.of("RG")]
 

@@ -172,3 +172,17 @@ def test_report_histogram():
 def test_empty_table(spark):
     result, rows, _ = run(spark, [])
     assert rows == [] and counts(result).pairs_examined == 0 and result.sizes.count() == 0
+
+
+def test_fragment_groups_of_a_growing_table(spark, tmp_path):
+    from strandset.operators import marking as M
+    from strandset.streaming.groups import follow_fragment_groups
+
+    libraries = spark.createDataFrame([], "rg string, library_idx int")
+    reads = M.keyed_reads(table(spark, [read(f"r{i}", 0, 0, 100 + i % 3, qual=20 + i) for i in range(12)]), libraries)
+    source, checkpoint, out = (str(tmp_path / x) for x in ("in", "cp", "out"))
+    for part in ("record_id < 6", "record_id >= 6"):
+        reads.where(part).write.mode("append").parquet(source)
+        last = follow_fragment_groups(spark, source, reads.schema, checkpoint, out)
+    key = [*M.FRAGMENT_KEY, "size", "winner"]
+    assert sorted(map(tuple, last.select(*key).collect())) == sorted(map(tuple, M.fragment_groups(reads).select(*key).collect()))

@@ -68,9 +68,18 @@ def test_command_line(spark, tmp_path):
     assert compare(spark, out, out, report, str(tmp_path / "other.txt"))["mismatch"]["class"] == "metrics_text"
 
 
+def test_unsorted_input_of_the_other_style(spark, tmp_path):
+    source, out = str(tmp_path / "in.bam"), str(tmp_path / "out.bam")
+    write_bam(table(spark, [read("b", 0, 1, 5), read("un", 4), read("a", 0, 0, 9), read("c", 0, 0, 9)], sort=False), header(order="unsorted"), source)
+    run(spark, {"input": source, "output": out, "sort": True})
+    h, df = read_bam(spark, out)
+    assert h.sort_order == "coordinate"
+    assert [(r.qname, r.flags & 0x400) for r in df.orderBy("record_id").collect()] == [("a", 0), ("c", 0x400), ("b", 0), ("un", 0)]
+
+
 def test_picard_arguments():
     words = "--INPUT a.bam --OUTPUT b.bam --METRICS_FILE m --VALIDATION_STRINGENCY LENIENT REMOVE_DUPLICATES=true".split()
-    assert picard_arguments(words) == {"input": "a.bam", "output": "b.bam", "metrics": "m", "remove": True}
+    assert picard_arguments(words) == {"input": "a.bam", "output": "b.bam", "metrics": "m", "remove": True, "sort": True}
     for bad in (["--NO_SUCH", "1"], ["--INPUT", "a.bam"]):
         with pytest.raises(ValueError):
             picard_arguments(bad)
