@@ -15,7 +15,7 @@ buckets by hash, so a hot word's bigrams spread over all buckets and a block sen
 training counts of all blocks and replies to each; what a context's bigrams sum to goes to its word's bucket. From the
 replies a block builds the part of the automaton that its texts can reach, and traverses it.
 
-Counts come from all training texts whole. Words have 56-bit hashes and bigrams 64-bit ones.
+Counts come from all training texts whole. Words and bigrams have 56-bit hashes.
 
 Defined results: a null or empty text is one end token; null ids count as the empty string for the fold; repeated rows
 count and are scored each; without training texts every token has probability 1; an empty table gives an empty table;
@@ -41,6 +41,9 @@ BLOCK = 1 << 21
 CHUNK_CHARS = 1 << 20
 WORD_BITS = 56
 WORD_MASK = np.uint64((1 << WORD_BITS) - 1)
+#: Hashes fill the upper bits of 64-bit integers; these below are left at 0 and not sent.
+SPARE_BITS = np.uint64(64 - WORD_BITS)
+SPARE = np.uint64((1 << (64 - WORD_BITS)) - 1)
 END = np.uint64(0)
 KEEP = 2
 #: Tokens for each bucket, and the least number of buckets.
@@ -98,7 +101,7 @@ def make_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, index = np.unique(np.concatenate(hashes), return_inverse=True)
         named = np.array([0 if x is None else x for x in keys], "<i8").tobytes()
         null = np.array([x is None for x in keys], np.uint8).tobytes()
-        columns = [[first], [total], [named], [null], [np.array(held, np.uint8).tobytes()], [squeeze(np.concatenate(sizes))], [narrow(words, 8)], [squeeze(index)]]
+        columns = [[first], [total], [named], [null], [np.array(held, np.uint8).tobytes()], [squeeze(np.concatenate(sizes))], [pack_sorted(words)], [squeeze(index)]]
         kinds = [pa.int64()] * 2 + [pa.binary()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "tokens", "keys", "unnamed", "held", "sizes", "words", "stream"])
 
@@ -127,8 +130,8 @@ class Block:
 
     def __init__(self, row: dict):
         self.number = row["block"]
-        self.sizes, self.stream = unsqueeze(row["sizes"]), unsqueeze(row["stream"])
-        self.words = np.frombuffer(row["words"], "<u8")
+        self.sizes, self.stream = unsqueeze(row["sizes"]), unsqueeze(row["stream"]).astype(np.int32)
+        self.words = unpack_sorted(row["words"])
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.keys = pa.array(np.frombuffer(row["keys"], "<i8"), pa.int64(), mask=np.frombuffer(row["unnamed"], np.uint8).astype(bool))
         self.training = np.repeat(~self.held, self.sizes)
@@ -136,13 +139,13 @@ class Block:
         before = np.empty_like(self.stream)
         before[0], before[1:] = 0, self.stream[:-1]
         self.before = before  # END has the least hash, so index 0; each text ends with it
-        codes, self.pair = np.unique(before * len(self.words) + self.stream, return_inverse=True)
+        codes, pair = np.unique(before.astype(np.int64) * len(self.words) + self.stream, return_inverse=True)
         first, second = np.divmod(codes, len(self.words))
-        hashes = mix(mix(self.words[first]) + self.words[second])
+        hashes = mix(mix(self.words[first]) + self.words[second]) & ~SPARE
         order = np.argsort(hashes)
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        self.pair = place[self.pair]
+        self.pair = place[pair]
         self.hashes, self.contexts = hashes[order], self.words[first][order]
 
     def counts(self, index: np.ndarray, n: int) -> np.ndarray:
@@ -155,7 +158,7 @@ def asked(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
     for batch in batches:
         for row in batch.to_pylist():
             block = Block(row)
-            for kind, hashes, contexts, counts in ((2, block.hashes, block.contexts, block.counts(block.pair, len(block.hashes))), (1, block.words << np.uint64(64 - WORD_BITS), None, block.counts(block.stream, len(block.words)))):
+            for kind, hashes, contexts, counts in ((2, block.hashes, block.contexts, block.counts(block.pair, len(block.hashes))), (1, block.words << SPARE_BITS, None, block.counts(block.stream, len(block.words)))):
                 cut = np.append(np.searchsorted(hashes, edges), len(hashes)).tolist()
                 spans = [(i, a, b) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
                 yield pa.RecordBatch.from_arrays(
@@ -163,7 +166,7 @@ def asked(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
                         pa.array([kind] * len(spans), pa.int32()),
                         pa.array([i for i, _, _ in spans], pa.int64()),
                         pa.array([block.number] * len(spans), pa.int64()),
-                        pa.array([pack_sorted(hashes[a:b]) for _, a, b in spans], pa.binary()),
+                        pa.array([pack_sorted(hashes[a:b] >> SPARE_BITS) for _, a, b in spans], pa.binary()),
                         pa.array([b"" if contexts is None else narrow(contexts[a:b], WORD_BITS // 8) for _, a, b in spans], pa.binary()),
                         pa.array([squeeze(counts[a:b]) for _, a, b in spans], pa.binary()),
                     ],
@@ -197,7 +200,7 @@ def count_bigrams(buckets: int):
 
     def run(asked: pa.Table) -> pa.Table:
         rows = asked.to_pylist()
-        hashes = [unpack_sorted(r["hashes"]) for r in rows]
+        hashes = [unpack_sorted(r["hashes"]) << SPARE_BITS for r in rows]
         _, first, inverse, totals = add_up(hashes, [unsqueeze(r["counts"]) for r in rows])
         kept = totals >= KEEP
         out = [summed(rows[0]["bucket"], totals)]
@@ -208,11 +211,11 @@ def count_bigrams(buckets: int):
         contexts = np.concatenate([widen(r["contexts"], WORD_BITS // 8) for r in rows])[first[kept]]
         words, index = np.unique(contexts, return_inverse=True)
         amount, types = np.bincount(index, weights=totals[kept], minlength=len(words)).astype(np.int64), np.bincount(index, minlength=len(words))
-        placed = words << np.uint64(64 - WORD_BITS)
+        placed = words << SPARE_BITS
         cut = np.append(np.searchsorted(placed, edges), len(placed)).tolist()
         for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
             if b > a:
-                out.append({"kind": 3, "bucket": i, "hashes": pack_sorted(placed[a:b]), "kept": squeeze_wide(amount[a:b]), "types": squeeze_wide(types[a:b])})
+                out.append({"kind": 3, "bucket": i, "hashes": pack_sorted(placed[a:b] >> SPARE_BITS), "kept": squeeze_wide(amount[a:b]), "types": squeeze_wide(types[a:b])})
         return told(out)
 
     return run
@@ -231,11 +234,11 @@ def unsqueeze_wide(data: bytes) -> np.ndarray:
 def count_words(asked: pa.Table) -> pa.Table:
     rows = sorted(asked.to_pylist(), key=lambda r: r["kind"])
     blocks = [r for r in rows if r["kind"] == 1]
-    hashes = [unpack_sorted(r["hashes"]) for r in blocks]
+    hashes = [unpack_sorted(r["hashes"]) << SPARE_BITS for r in blocks]
     unique, _, inverse, totals = add_up(hashes, [unsqueeze(r["counts"]) for r in blocks])
     kept, types = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
     for r in rows[len(blocks) :]:  # every context is a word of some block
-        at = np.searchsorted(unique, unpack_sorted(r["hashes"]))
+        at = np.searchsorted(unique, unpack_sorted(r["hashes"]) << SPARE_BITS)
         kept[at] += unsqueeze_wide(r["kept"])
         types[at] += unsqueeze_wide(r["types"])
     out = [summed(rows[0]["bucket"], totals)]
