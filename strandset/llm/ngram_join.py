@@ -5,8 +5,10 @@ form a class, of which one row takes part.
 
 Size-derived bounds come first. With similarity a / b, linked sets of x <= y n-grams have y <= x b / a and differ in at
 most D = x (b - a) / a n-grams. So sizes fall into levels of ratio b / a; of the smaller set's level, hashes fall into
-k = D + 1 + e parts, of which at least e + 1 agree. The sums of the parts are signatures; classes that share none are
-not multiplied. Parts without n-grams are no signatures, unless a row has more than e of them.
+k = D + 1 + e + m parts, of which at least e + m + 1 agree. The sums of the parts are signatures; classes that share none
+are not multiplied. Parts without n-grams are no signatures, unless a row has more than e of them. As linked rows share
+m + 1 signatures, each row may leave out its m most frequent ones: the rarest that two share is among neither's. So what
+many rows have in common, such as a passage, brings none together.
 
 The product then takes two steps. In each signature's group one row, the hub (in most and largest groups), is multiplied
 with the others, in blocks of bounded size; groups whose members end up in one component are done. What is left of the
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, text_slices
 from .components import connected_components
@@ -42,6 +45,8 @@ SIGNATURE_BYTES = 6
 BUCKET, BUCKETS = 1 << 20, 32
 #: Rows of a block of the product; columns of a dense tile.
 ROWS, COLUMNS = 512, 4096
+#: At most so many of a row's signatures at a level are left out.
+SPARED = 24
 
 
 def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
@@ -89,7 +94,8 @@ class Levels:
                 k = differ + 1 + spare
                 empty = k * math.exp(-low / k)
                 spare = min(math.ceil(empty + 3 * math.sqrt(empty)) if empty > 0.01 else 0, max(0, low // 4 - differ - 1))
-            self.parts.append((differ + 1 + spare, spare))
+            more = min(SPARED, (differ + 1) // 3)
+            self.parts.append((differ + 1 + spare + more, spare, more))
             self.starts.append(high)
         return int(np.searchsorted(self.starts, size, "right")) - 1
 
@@ -99,7 +105,7 @@ class Levels:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(row), dtype=np.uint64)])
         found = []
         for level in (own, own - 1)[: 2 if own else 1]:
-            k, spare = self.parts[level]
+            k, spare, _ = self.parts[level]
             edges = np.concatenate([[0], np.searchsorted(row, part_edges(k)), [len(row)]])
             filled = edges[1:] > edges[:-1]
             content = sums[edges[1:]] - sums[edges[:-1]]
@@ -107,8 +113,9 @@ class Levels:
                 content, which = content[filled], np.flatnonzero(filled)
             else:
                 which = np.arange(k)
-            found.append(mix(content + mix(which.astype(np.uint64) + np.uint64(level << 32))))
-        return np.unique(np.concatenate(found) >> np.uint64(64 - 8 * SIGNATURE_BYTES))
+            hashed = mix(content + mix(which.astype(np.uint64) + np.uint64(level << 32))) >> np.uint64(65 - 8 * SIGNATURE_BYTES)
+            found.append(hashed << np.uint64(1) | np.uint64(level % 2))  # the last bit tells the two levels apart
+        return np.unique(np.concatenate(found))
 
 
 @functools.lru_cache(maxsize=4096)
@@ -178,7 +185,8 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
 
 
 def overlaps(rows: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of all pairs of rows: the incidence matrix times its transpose, tile by tile of columns."""
+    """Overlap counts of all pairs of rows: the incidence matrix times its transpose, tile by tile of columns. Where values
+    repeat in rows, at least the overlap of the values that they stand for."""
     owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     columns, index, df = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     rank = np.cumsum(df > 1) - 1  # columns of one row only add to the diagonal
@@ -190,11 +198,34 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
     for start in range(0, n, COLUMNS):
         x, y = np.searchsorted(index, (start, start + COLUMNS))
         tile = np.zeros((len(rows), min(COLUMNS, n - start)), np.float32)
-        tile[owner[x:y], index[x:y] - start] = 1
+        np.add.at(tile, (owner[x:y], index[x:y] - start), 1)
         out += tile @ tile.T
     return out
 
 
+def star_product(pairs: DataFrame, sets: DataFrame, column: str, kind: str, a: int, b: int) -> DataFrame:
+    """(a, b) of the pairs (hub, rep) whose overlap, in a column of hashes, suffices: hubs times blocks of rows."""
+
+    def star(key: tuple, hub: pa.Table, others: pa.Table) -> pa.Table:
+        found = []
+        if hub.num_rows and others.num_rows:
+            row = np.unique(np.frombuffer(hub["own"][0].as_py(), kind))
+            held = [np.frombuffer(x, kind) for x in others["hashes"].to_pylist()]
+            sizes = np.array([len(x) for x in held])
+            flat = np.concatenate(held)
+            at = np.minimum(np.searchsorted(row, flat), len(row) - 1)
+            overlap = np.add.reduceat((row[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            ok = linked(overlap, len(hub["own"][0].as_py()) // row.itemsize, sizes, a, b)
+            found = others["rep"].filter(pa.array(ok)).to_pylist()
+        return pa.table([pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
+
+    many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("blocks"))
+    dealt = pairs.join(many, "hub").select("hub", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))
+    others = dealt.join(sets.select("rep", F.col(column).alias("hashes")), "rep").select("hub", "block", "rep", "hashes")
+    first = dealt.select("hub", "block").distinct().join(sets.select(F.col("rep").alias("hub"), F.col(column).alias("own")), "hub").select(F.col("hub").alias("head"), F.col("block").alias("part"), "own")
+    return first.groupBy("head", "part").cogroup(others.groupBy("hub", "block")).applyInArrow(star, "a bigint, b bigint")
+
+
 def jaccard_links(df: DataFrame, n: int, a: int, b: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, members, links): all rows; (uid, doc_id, size, rep, rep_doc) with the representative of the class of each row
     that has n-grams; and links (a, b) between representatives: all but those of pairs that others connect."""
@@ -205,9 +236,19 @@ def jaccard_links(df: DataFrame, n: int, a: int, b: int, key: str = "doc_id", te
     narrow_rows = rows.select("uid", "doc_id", "size", "hi", "lo")
     members = materialize(narrow_rows.where("size > 0").join(classes, ["hi", "lo"]).select("uid", "doc_id", "size", "rep", "rep_doc"), "join-members")
 
-    met = materialize(shared_signatures(rows).join(members.select("uid", "rep"), "uid").select("sig", "rep").distinct(), "join-met")
+    met = materialize(shared_signatures(rows).join(members.select("uid", "rep", "size"), "uid").select("sig", "rep", "size").distinct(), "join-met")
     sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = materialize(met.join(sizes, "sig"), "join-groups")
+    levels = Levels(a, b)
+    levels.reach(rows.agg(F.max("size")).first()[0] or 1)
+    table = rows.sparkSession.createDataFrame([(i, low, levels.starts[i + 1], i % 2, levels.parts[i][2]) for i, low in enumerate(levels.starts[:-1])], "level int, low bigint, high bigint, odd int, more int")
+    # One row a level, some hundreds: a row's own level and the one below, by the signature's last bit.
+    own = table.select("low", "high", F.col("odd").alias("bit"), "more")
+    below = table.alias("o").join(table.alias("l"), F.col("o.level") == F.col("l.level") + 1).select("o.low", "o.high", F.col("l.odd").alias("bit"), "l.more")
+    bit = F.shiftright("sig", 64 - 8 * SIGNATURE_BYTES).bitwiseAND(F.lit(1)).cast("int")
+    ranked = met.join(sizes, "sig").withColumn("bit", bit).withColumn("place", F.row_number().over(Window.partitionBy("rep", "bit").orderBy(F.desc("n"), F.desc("sig"))))
+    kept = ranked.join(F.broadcast(own.unionByName(below)).alias("v"), (F.col("size") >= F.col("v.low")) & (F.col("size") < F.col("v.high")) & (ranked.bit == F.col("v.bit"))).where("place > more").select("sig", "rep")
+    kept = materialize(kept, "join-kept")
+    groups = materialize(kept.join(kept.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sig"), "join-groups")
     weight = groups.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("w"))
     hubs = groups.join(weight, "rep").groupBy("sig").agg(F.max(F.struct("w", (-F.col("rep")).alias("hub"))).alias("top")).select("sig", (-F.col("top.hub")).alias("hub"))
     pairs = materialize(groups.join(hubs, "sig").where("rep <> hub").select("hub", "rep").distinct(), "join-pairs")
@@ -216,24 +257,9 @@ def jaccard_links(df: DataFrame, n: int, a: int, b: int, key: str = "doc_id", te
     wanted = groups.select("rep").distinct().join(members.where("uid = rep").select("rep", "rep_doc"), "rep").select("rep_doc", "rep")
     sets = materialize(incidence(df, wanted, rows, n, key, text), "join-sets")
 
-    def star(key: tuple, hub: pa.Table, others: pa.Table) -> pa.Table:
-        found = []
-        if hub.num_rows and others.num_rows:
-            row = np.frombuffer(hub["own"][0].as_py(), "<u8")
-            held = [np.frombuffer(x, "<u8") for x in others["grams"].to_pylist()]
-            sizes = np.array([len(x) for x in held])
-            flat = np.concatenate(held)
-            at = np.minimum(np.searchsorted(row, flat), len(row) - 1)
-            overlap = np.add.reduceat((row[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
-            ok = linked(overlap, len(row), sizes, a, b)
-            found = others["rep"].filter(pa.array(ok)).to_pylist()
-        return pa.table([pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
-
-    many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("blocks"))
-    dealt = pairs.join(many, "hub").select("hub", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))
-    others = dealt.join(sets, "rep").select("hub", "block", "rep", "grams")
-    first = dealt.select("hub", "block").distinct().join(sets.withColumnRenamed("rep", "hub"), "hub").select(F.col("hub").alias("head"), F.col("block").alias("part"), F.col("grams").alias("own"))
-    links = materialize(first.groupBy("head", "part").cogroup(others.groupBy("hub", "block")).applyInArrow(star, "a bigint, b bigint"), "join-links")
+    # A bound comes before the counts: 16 bits of each hash overlap at least as much as whole hashes do.
+    likely = materialize(star_product(pairs, sets, "brief", "<u2", a, b), "join-likely").select(F.col("a").alias("hub"), F.col("b").alias("rep"))
+    links = materialize(star_product(likely, sets, "grams", "<u8", a, b), "join-links")
 
     # Groups of several components, apart from their hubs: all of whose pairs are known.
     roots = connected_components(links)
@@ -245,38 +271,40 @@ def jaccard_links(df: DataFrame, n: int, a: int, b: int, key: str = "doc_id", te
     if clusters.isEmpty():
         return rows, members, links
     counted = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / (ROWS // 2)).alias("blocks"))
-    placed = clusters.join(counted, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    placed = clusters.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(counted, "cluster").withColumn("root", F.coalesce("root", "rep")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
-    tiles = placed.select("cluster", "rep", "own", other).select("cluster", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    tiles = placed.select("cluster", "rep", "root", "own", other).select("cluster", "rep", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def product(tile: pa.Table) -> pa.Table:
-        held = [np.frombuffer(x, "<u8") for x in tile["grams"].to_pylist()]
-        reps = tile["rep"].to_numpy()
+        held = [np.frombuffer(x, "<u2") for x in tile["brief"].to_pylist()]
+        reps, own = tile["rep"].to_numpy(), tile["root"].to_numpy()
         sizes = np.array([len(x) for x in held])
-        hit = np.triu(linked(overlaps(held).astype(np.int64), sizes[:, None], sizes[None, :], a, b), 1)
-        x, y = np.nonzero(hit)
-        return pa.table([pa.array(reps[x]), pa.array(reps[y])], names=["a", "b"])
+        hit = linked(overlaps(held).astype(np.int64), sizes[:, None], sizes[None, :], a, b) & (own[:, None] != own[None, :])
+        x, y = np.nonzero(np.triu(hit, 1))
+        return pa.table([pa.array(reps[x]), pa.array(reps[y])], names=["hub", "rep"])
 
-    more = tiles.join(sets, "rep").select("cluster", "i", "j", "rep", "grams").groupBy("cluster", "i", "j").applyInArrow(product, "a bigint, b bigint")
-    return rows, members, links.unionByName(materialize(more, "join-more"))
+    likely = tiles.join(sets, "rep").select("cluster", "i", "j", "rep", "root", "brief").groupBy("cluster", "i", "j").applyInArrow(product, "hub bigint, rep bigint")
+    likely = materialize(likely.distinct(), "join-apart")
+    return rows, members, links.unionByName(materialize(star_product(likely, sets, "grams", "<u8", a, b), "join-more"))
 
 
 def incidence(df: DataFrame, wanted: DataFrame, rows: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """(rep, grams) of the wanted classes, from the texts of their representatives."""
+    """(rep, grams, brief) of the wanted classes, from the texts of their representatives: hashes, and 16 bits of each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, 0, CHUNK_CHARS):
                 sets = ngram_sets(texts, n)
                 prints = [fingerprint(x) for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in prints], pa.int64()), pa.array([x for _, x in prints], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["hi", "lo", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in prints], pa.int64()), pa.array([x for _, x in prints], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()), pa.array([(x >> np.uint64(48)).astype("<u2").tobytes() for x in sets], pa.binary())], ["hi", "lo", "grams", "brief"])
 
     texts = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    some = texts.join(wanted.select(F.col("rep_doc").alias("wanted")).distinct(), F.col("doc").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    found = some.mapInArrow(run, "hi bigint, lo bigint, grams binary")
+    # By sorting and merging at every size: what is wanted grows with the table.
+    some = texts.join(wanted.select(F.col("rep_doc").alias("wanted")).distinct().hint("merge"), F.col("doc").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    found = some.mapInArrow(run, "hi bigint, lo bigint, grams binary, brief binary")
     named = wanted.select("rep").join(rows.select(F.col("uid").alias("rep"), "hi", "lo"), "rep")
     # Where ids repeat, several rows may have the same set; any of them will do.
-    return found.join(named, ["hi", "lo"]).groupBy("rep").agg(F.first("grams").alias("grams"))
+    return found.join(named, ["hi", "lo"]).groupBy("rep").agg(F.first(F.struct("grams", "brief")).alias("x")).select("rep", "x.*")
 
 
 def jaccard_components(df: DataFrame, n: int, a: int, b: int, key: str = "doc_id", text: str = "text") -> DataFrame:
