@@ -33,7 +33,8 @@ class Result:
 
 
 def mark_duplicates(alignments: DataFrame, header: Header, options: Options = Options()) -> Result:
-    """Lazy but for the checks of sort order. alignments: the columns of schema.ALIGNMENTS."""
+    """Checks the order and writes keyed reads and pairs to the shared folder; the rest is lazy. alignments: the columns of
+    schema.ALIGNMENTS."""
     spark = alignments.sparkSession
     header.check_sort_order(options.assume_sort_order)
     C.require_sorted(alignments)
@@ -42,6 +43,7 @@ def mark_duplicates(alignments: DataFrame, header: Header, options: Options = Op
     if options.closing == "stream":
         clip = F.when(~F.col("reverse"), F.col("pos") - F.col("uc5"))
         reads = reads.withColumn("uc5", F.when(F.coalesce(clip, F.lit(0)) > STREAM_CLIP, F.raise_error(F.lit(f"a clip of more than {STREAM_CLIP}")).cast("bigint")).otherwise(F.col("uc5")))
+    reads = M.prepared(reads)
     duplicates = M.duplicate_ids(reads, options)
     drop, add = ["DT"], [("PG", "Z", F.lit("MarkDuplicates"))]
     rows = alignments

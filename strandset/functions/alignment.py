@@ -37,12 +37,16 @@ def reference_span(cigar: Column) -> Column:
 def unclipped_5prime(pos: Column, cigar: Column, reverse: Column) -> Column:
     """Start less leading clips on the forward strand; exclusive end plus trailing clips on the reverse strand."""
     cigar = F.coalesce(cigar, F.lit("*"))
-    return F.when(reverse, pos + reference_span(cigar) + trailing_clip(cigar)).otherwise(pos - leading_clip(cigar))
+    # Most reads are one aligned stretch: no lists of operations for them.
+    plain = cigar.rlike("^[0-9]+M$")
+    stretch = F.substring_index(cigar, "M", 1).cast("bigint")
+    return F.when(plain, F.when(reverse, pos + stretch).otherwise(pos)).when(reverse, pos + reference_span(cigar) + trailing_clip(cigar)).otherwise(pos - leading_clip(cigar))
 
 
 def quality_sum(qual: Column) -> Column:
     """Sum of qualities of at least MIN_QUALITY; 0 without any."""
-    return F.coalesce(F.aggregate(F.filter(qual, lambda q: q >= MIN_QUALITY), F.lit(0).cast("bigint"), lambda total, q: total + q), F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    return F.coalesce(F.aggregate(qual, zero, lambda total, q: F.when(q >= MIN_QUALITY, total + q).otherwise(total)), zero)
 
 
 def read_class(flags: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from .. import schema as S
 from ..functions import alignment as A
 from ..options import Options
+from ..storage import materialize
 from ..streaming.closing import with_segments
 
 PAIR_KEY = ["library_idx", "barcode", "read1_hash", "read2_hash", "ref_lo", "pos_lo", "rev_lo", "ref_hi", "pos_hi", "rev_hi"]
@@ -123,6 +124,7 @@ def pair_groups(keyed: DataFrame, options: Options = Options()) -> DataFrame:
 
 def pair_duplicates(keyed: DataFrame, options: Options = Options()) -> DataFrame:
     """(id1, id2) of pairs that lose."""
+    keyed = materialize(keyed, "pairs")  # groups and members both take them
     lost = pair_groups(keyed, options).where("size > 1").drop("size")
     return keyed.join(lost, pair_key(options)).where("id1 <> winner").select("id1", "id2")
 
@@ -145,6 +147,11 @@ def fragment_duplicates(reads: DataFrame) -> DataFrame:
     return reads.where("not paired").join(lost, FRAGMENT_KEY).where("marked or record_id <> winner").select("record_id", F.col("marked").alias("by_marker"))
 
 
+def prepared(reads: DataFrame) -> DataFrame:
+    """reads, written once: pairs, fragments and counters each take them, and CIGARs and qualities are decoded one time."""
+    return materialize(reads, "reads")
+
+
 def duplicate_ids(reads: DataFrame, options: Options = Options()) -> DataFrame:
     """record_id of all duplicates, each once."""
     twice = pair_duplicates(keyed_pairs(reads, options), options).select(F.explode(F.array("id1", "id2")).alias("record_id"))

@@ -186,12 +186,12 @@ def fragment_markers(spark, sf_dir):
 
 @query(keyed_sql() + "select record_id, marked as by_marker from f where marked or place > 1")
 def fragment_duplicates(spark, sf_dir):
-    return M.fragment_duplicates(reads_of(spark, sf_dir))
+    return M.fragment_duplicates(M.prepared(reads_of(spark, sf_dir)))
 
 
 @query(keyed_sql() + "select record_id from dup")
 def duplicate_record_ids(spark, sf_dir):
-    return M.duplicate_ids(reads_of(spark, sf_dir))
+    return M.duplicate_ids(M.prepared(reads_of(spark, sf_dir)))
 
 
 FLAGGED = "case when dup.record_id is null then v.flags & ~1024 else v.flags | 1024 end"
@@ -200,14 +200,14 @@ FLAGGED = "case when dup.record_id is null then v.flags & ~1024 else v.flags | 1
 @query(keyed_sql() + f"select v.record_id, v.qname, cast({FLAGGED} as int) as flags, v.ref_id, v.pos from v left join dup using (record_id)")
 def flagged_records(spark, sf_dir):
     rows = alignments(spark, sf_dir)
-    found = M.duplicate_ids(M.keyed_reads(rows, libraries(spark)))
+    found = M.duplicate_ids(M.prepared(M.keyed_reads(rows, libraries(spark))))
     return M.flag_duplicates(rows.select("record_id", "qname", "flags", "ref_id", "pos"), found)
 
 
 @query(keyed_sql() + "select record_id, qname, flags & ~1024 as flags from v where record_id not in (select record_id from dup)")
 def remove_duplicates(spark, sf_dir):
     rows = alignments(spark, sf_dir)
-    found = M.duplicate_ids(M.keyed_reads(rows, libraries(spark)))
+    found = M.duplicate_ids(M.prepared(M.keyed_reads(rows, libraries(spark))))
     return M.flag_duplicates(rows.select("record_id", "qname", "flags"), found, remove=True)
 
 
@@ -230,13 +230,13 @@ def read12_barcode_pairs(spark, sf_dir):
 
 @query(keyed_sql() + "select bin, sets from sz")
 def group_size_histogram(spark, sf_dir):
-    return M.group_sizes(reads_of(spark, sf_dir))
+    return M.group_sizes(M.prepared(reads_of(spark, sf_dir)))
 
 
 @query(keyed_sql() + "select unpaired_examined, pairs_examined, secondary_or_supplementary, unmapped, unpaired_dups, pair_dups from ct")
 def duplication_counters(spark, sf_dir):
     rows = alignments(spark, sf_dir)
-    return R.counters(rows, M.keyed_reads(rows, libraries(spark)))
+    return R.counters(rows, M.prepared(M.keyed_reads(rows, libraries(spark))))
 
 
 @query(keyed_sql() + f"select round({PERCENT}, 6) as percent_duplication from ct")
@@ -254,7 +254,7 @@ def library_size_estimate(spark, sf_dir):
 from sz, (select {library_size_sql('pairs_examined', 'pair_dups')}::double as size, pairs_examined::double as n, (pairs_examined - pair_dups)::double as u from ct) where size is not null""")
 def roi_histogram(spark, sf_dir):
     rows = alignments(spark, sf_dir)
-    reads = M.keyed_reads(rows, libraries(spark))
+    reads = M.prepared(M.keyed_reads(rows, libraries(spark)))
     return R.roi_histogram(R.counters(rows, reads), M.group_sizes(reads)).withColumn("coverage_mult", F.round("coverage_mult", 6))
 
 
@@ -263,14 +263,14 @@ from (select l.library_idx, (select count(*) from r where class = 'fragment' and
   (select count(*) from p where library_idx = l.library_idx) as pairs_examined, (select count(*) from f where (marked or place > 1) and library_idx = l.library_idx) as unpaired_dups,
   (select count(*) from w where place > 1 and library_idx = l.library_idx) as pair_dups from (select distinct library_idx from r) l)""")
 def per_library_metrics(spark, sf_dir):
-    found = R.with_rates(R.library_counters(reads_of(spark, sf_dir)))
+    found = R.with_rates(R.library_counters(M.prepared(reads_of(spark, sf_dir))))
     return found.withColumn("percent_duplication", F.round("percent_duplication", 6))
 
 
 @query()
 def metrics_report_text(spark, sf_dir):
     rows = alignments(spark, sf_dir)
-    reads = M.keyed_reads(rows, libraries(spark))
+    reads = M.prepared(M.keyed_reads(rows, libraries(spark)))
     counts = R.counters(rows, reads).first().asDict()
     text = R.report_text(counts, [tuple(x) for x in M.group_sizes(reads).collect()], "lib1", "strandset INPUT=lineitem OUTPUT=stdout")
     lines = [(i + 1, x) for i, x in enumerate(text.split("\n")) if not x.startswith("# Started on")]
@@ -291,7 +291,7 @@ select v.record_id, concat(case ref_id when 0 then 'chr1' when 1 then 'chr2' els
 from v left join mp using (record_id)""")
 def mi_tags(spark, sf_dir):
     rows = alignments(spark, sf_dir)
-    met = M.mates(M.keyed_reads(rows, libraries(spark))).where("later is not null")
+    met = M.mates(M.prepared(M.keyed_reads(rows, libraries(spark)))).where("later is not null")
     ends = F.explode(F.array(F.struct("record_id", F.col("later.pos").alias("mate_pos")), F.struct(F.col("later.record_id").alias("record_id"), F.col("pos").alias("mate_pos"))))
     places = met.select(ends.alias("x")).select("x.*")
     return C.molecular_ids(rows.select("record_id", "flags", "ref_id", "pos").join(places, "record_id", "left"), contigs(spark))
