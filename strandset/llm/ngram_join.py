@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, text_slices
+from .common import discard, materialize, release, text_slices
 from .components import connected_components
 from .dedup import has_files, locate
 from .lm import bucket_edges, narrow, pack_sorted, squeeze, unpack_sorted, unsqueeze, widen
@@ -229,18 +229,22 @@ def star_product(pairs: DataFrame, sets: DataFrame, column: str, kind: str, a: i
 def jaccard_links(df: DataFrame, n: int, a: int, b: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, members, links): all rows; (uid, doc_id, size, rep, rep_doc) with the representative of the class of each row
     that has n-grams; and links (a, b) between representatives: all but those of pairs that others connect."""
-    rows = materialize(rows_of(df, n, a, b, key, text), "join-rows")
+    spark = df.sparkSession
+    signed = materialize(rows_of(df, n, a, b, key, text), "join-rows")
+    rows = materialize(signed.drop("signatures"), "join-narrow")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid")
     classes = rows.where("size > 0").groupBy("hi", "lo").agg(F.min(order).alias("first"))
     classes = classes.select("hi", "lo", F.col("first.uid").alias("rep"), F.col("first.doc_id").alias("rep_doc"))
     narrow_rows = rows.select("uid", "doc_id", "size", "hi", "lo")
     members = materialize(narrow_rows.where("size > 0").join(classes, ["hi", "lo"]).select("uid", "doc_id", "size", "rep", "rep_doc"), "join-members")
 
-    met = materialize(shared_signatures(rows).join(members.select("uid", "rep", "size"), "uid").select("sig", "rep", "size").distinct(), "join-met")
+    met = materialize(shared_signatures(signed).join(members.select("uid", "rep", "size"), "uid").select("sig", "rep", "size").distinct(), "join-met")
+    discard(signed)  # its signatures are dealt
+    release(spark)
     sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     levels = Levels(a, b)
     levels.reach(rows.agg(F.max("size")).first()[0] or 1)
-    table = rows.sparkSession.createDataFrame([(i, low, levels.starts[i + 1], i % 2, levels.parts[i][2]) for i, low in enumerate(levels.starts[:-1])], "level int, low bigint, high bigint, odd int, more int")
+    table = spark.createDataFrame([(i, low, levels.starts[i + 1], i % 2, levels.parts[i][2]) for i, low in enumerate(levels.starts[:-1])], "level int, low bigint, high bigint, odd int, more int")
     # One row a level, some hundreds: a row's own level and the one below, by the signature's last bit.
     own = table.select("low", "high", F.col("odd").alias("bit"), "more")
     below = table.alias("o").join(table.alias("l"), F.col("o.level") == F.col("l.level") + 1).select("o.low", "o.high", F.col("l.odd").alias("bit"), "l.more")
@@ -248,19 +252,25 @@ def jaccard_links(df: DataFrame, n: int, a: int, b: int, key: str = "doc_id", te
     ranked = met.join(sizes, "sig").withColumn("bit", bit).withColumn("place", F.row_number().over(Window.partitionBy("rep", "bit").orderBy(F.desc("n"), F.desc("sig"))))
     kept = ranked.join(F.broadcast(own.unionByName(below)).alias("v"), (F.col("size") >= F.col("v.low")) & (F.col("size") < F.col("v.high")) & (ranked.bit == F.col("v.bit"))).where("place > more").select("sig", "rep")
     kept = materialize(kept, "join-kept")
+    discard(met)
     groups = materialize(kept.join(kept.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sig"), "join-groups")
+    discard(kept)
+    release(spark)
     weight = groups.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("w"))
     hubs = groups.join(weight, "rep").groupBy("sig").agg(F.max(F.struct("w", (-F.col("rep")).alias("hub"))).alias("top")).select("sig", (-F.col("top.hub")).alias("hub"))
     pairs = materialize(groups.join(hubs, "sig").where("rep <> hub").select("hub", "rep").distinct(), "join-pairs")
 
     # Rows of the incidence matrix, for classes that share a signature.
     wanted = groups.select("rep").distinct().join(members.where("uid = rep").select("rep", "rep_doc"), "rep").select("rep_doc", "rep")
+    release(spark)
     sets = materialize(incidence(df, wanted, rows, n, key, text), "join-sets")
 
     # A bound comes before the counts: 16 bits of each hash overlap at least as much as whole hashes do.
     likely = materialize(star_product(pairs, sets, "brief", "<u2", a, b), "join-likely").select(F.col("a").alias("hub"), F.col("b").alias("rep"))
     links = materialize(star_product(likely, sets, "grams", "<u8", a, b), "join-links")
 
+    release(spark)
+
     # Groups of several components, apart from their hubs: all of whose pairs are known.
     roots = connected_components(links)
     rest = groups.where("n > 2").join(hubs, "sig").where("rep <> hub").select("sig", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
