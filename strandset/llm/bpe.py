@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import text_slices
 
 CHUNK_CHARS = 1 << 20
-CACHE_PIECES = 1 << 18  # in each of two generations
+CACHE_PIECES = 3 << 17  # in each of two generations
 
 # The code points of the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

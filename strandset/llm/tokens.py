@@ -32,7 +32,7 @@ from .bpe import WHITE_SPACE, PieceCache
 from .common import materialize, scratch, text_slices
 
 CHUNK_CHARS = 1 << 19
-BLOCK = 1024
+BLOCK = 256
 MAGIC = int.from_bytes(b"S8BSEG01", "little")
 END = "S8B-END\n"
 #: Bits and ids a word by selector; 0 escapes, 1 is not in use.
@@ -193,10 +193,13 @@ class LibraryTokenizer:
         self.pattern = re.compile(f" ?{word}|[{GAP}]+(?![^{GAP}])|[{GAP}]+?(?=[{GAP}]?[^{GAP}])" if by == "bytes" else word).findall
         self.unsafe = re.compile(f"[,.{CUT}](?<![{PLAIN}0-9][,.])").search
         # What str.split takes for white space and normalisation does not; a blank between white space.
+        self.odd_ascii = "\x1c\x1d\x1e\x1f" if by != "bytes" else ["\t ", "\n ", "\x0b ", "\x0c ", "\r "]
         self.odd = re.compile("[\x1c-\x1f]" if by != "bytes" else f"[{GAP_BUT_BLANK}] (?:[{GAP}]|\\Z)").search
 
     def pieces(self, text: str) -> list[str]:
-        if self.unsafe(text) or self.odd(text):
+        if self.unsafe(text) or not text.isascii() and self.odd(text):
+            return self.pattern(text)
+        if text.isascii() and any(x in text for x in self.odd_ascii):
             return self.pattern(text)
         if self.by == "bytes":
             if "  " in text:
