@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from .common import discard, materialize, release, text_slices
 from .components import connected_components
 from .dedup import has_files, locate
-from .lm import bucket_edges, narrow, pack_sorted, squeeze, unpack_sorted, unsqueeze, widen
+from .lm import bucket_edges, narrow, pack_sorted, squeeze_wide, unpack_sorted, unsqueeze_wide, widen
 from .words import mix, word_hashes
 
 CHUNK_CHARS = 1 << 20
@@ -163,15 +163,15 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
             sigs = np.concatenate(held) << np.uint64(64 - 8 * SIGNATURE_BYTES)
             owner = np.repeat(uids[first], [len(x) for x in held])
             order = np.argsort(sigs)
-            sigs, owner, base = sigs[order], owner[order], int(uids.min())
+            sigs, owner, base = sigs[order], owner[order], int(uids.min())  # a batch may hold rows of several partitions' ids
             cut = np.append(np.searchsorted(sigs, edges), len(sigs)).tolist()
             spans = [(i, x, y) for i, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in spans], pa.int64()), pa.array([base] * len(spans), pa.int64()), pa.array([pack_sorted(sigs[x:y]) for _, x, y in spans], pa.binary()), pa.array([squeeze(owner[x:y] - base) for _, x, y in spans], pa.binary())], ["bucket", "base", "sigs", "owners"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in spans], pa.int64()), pa.array([base] * len(spans), pa.int64()), pa.array([pack_sorted(sigs[x:y]) for _, x, y in spans], pa.binary()), pa.array([squeeze_wide(owner[x:y] - base) for _, x, y in spans], pa.binary())], ["bucket", "base", "sigs", "owners"])
 
     def meet(told: pa.Table) -> pa.Table:
         rows = told.to_pylist()
         sigs = np.concatenate([unpack_sorted(r["sigs"]) for r in rows])
-        owner = np.concatenate([unsqueeze(r["owners"]) + r["base"] for r in rows])
+        owner = np.concatenate([unsqueeze_wide(r["owners"]) + r["base"] for r in rows])
         order = np.argsort(sigs)
         sigs, owner = sigs[order], owner[order]
         same = sigs[1:] == sigs[:-1]

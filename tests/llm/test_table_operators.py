@@ -176,6 +176,12 @@ def test_jaccard_small_blocks(spark, monkeypatch):
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == joined(rows, 3, 60, 100)
 
 
+def test_jaccard_many_partitions(spark):
+    rows = near_copies(13)
+    got = ngram_join.jaccard_components(documents(spark, rows).repartition(40), 3, 60, 100).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == joined(rows, 3, 60, 100)
+
+
 def test_one_of_each(spark):
     rows = near_copies(11)
     df = documents(spark, rows)
