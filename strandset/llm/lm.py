@@ -2,7 +2,7 @@
 
 The model interpolates absolute discounting: over words w after a word h,
 
-    p(w | h) = max(c(h w) - D2, 0) / c(h), for bigrams seen twice or more, + l(h) * p1(w)
+    p(w | h) = max(c(h w) - D2, 0) / c(h), for bigrams seen `keep` times or more, + l(h) * p1(w)
     p1(w)    = max(c(w) - D1, 0) / N + D1 * V / N / (V + 1)
 
 with discounts from the counts of counts (n1 / (n1 + 2 n2)) and l(h) what is left, so all words and one unknown word
@@ -15,7 +15,7 @@ buckets by hash, so a hot word's bigrams spread over all buckets and a block sen
 training counts of all blocks and replies to each; what a context's bigrams sum to goes to its word's bucket. From the
 replies a block builds the part of the automaton that its texts can reach, and traverses it.
 
-Counts come from all training texts whole. Words and bigrams have 56-bit hashes.
+Counts come from all training texts whole. The registered query keeps every bigram seen (keep 1); a larger `keep` is a cutoff. Words and bigrams have 56-bit hashes.
 
 Defined results: a null or empty text is one end token; null ids count as the empty string for the fold; repeated rows
 count and are scored each; without training texts every token has probability 1; an empty table gives an empty table;
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, release, text_slices
 from .words import mix, word_hashes
 
 BLOCK = 1 << 21
@@ -45,6 +45,7 @@ WORD_MASK = np.uint64((1 << WORD_BITS) - 1)
 SPARE_BITS = np.uint64(64 - WORD_BITS)
 SPARE = np.uint64((1 << (64 - WORD_BITS)) - 1)
 END = np.uint64(0)
+#: The cutoff of corpus_scores where its caller names none.
 KEEP = 2
 #: Tokens for each bucket, and the least number of buckets.
 BUCKET, BUCKETS = 1 << 20, 32
@@ -195,14 +196,14 @@ def add_up(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return unique, first, inverse, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(unique)).astype(np.int64)
 
 
-def count_bigrams(buckets: int):
+def count_bigrams(buckets: int, keep: int):
     edges = bucket_edges(buckets)
 
     def run(asked: pa.Table) -> pa.Table:
         rows = asked.to_pylist()
         hashes = [unpack_sorted(r["hashes"]) << SPARE_BITS for r in rows]
         _, first, inverse, totals = add_up(hashes, [unsqueeze(r["counts"]) for r in rows])
-        kept = totals >= KEEP
+        kept = totals >= max(keep, 1)  # of held-out texts only: 0
         out = [summed(rows[0]["bucket"], totals)]
         ends = np.cumsum([len(x) for x in hashes])
         replies = np.where(kept, totals, 0)[inverse]
@@ -266,7 +267,7 @@ class Automaton:
         return np.where(np.isnan(arc), self.failure[before] + self.root[tokens], arc)
 
 
-def score_block(stats: dict):
+def score_block(stats: dict, keep: int):
     n, v, d1, d2 = stats["n"], stats["v"], stats["d1"], stats["d2"]
 
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
@@ -282,7 +283,7 @@ def score_block(stats: dict):
         first[block.pair], second[block.pair] = block.before, block.stream
         weight = (pairs - d2) / np.maximum(c[first], 1) + left[first] * p1[second]
         with np.errstate(divide="ignore", invalid="ignore"):
-            model = Automaton(np.log10(p1), np.log10(left), np.where(pairs >= KEEP, np.log10(weight), np.nan))
+            model = Automaton(np.log10(p1), np.log10(left), np.where(pairs >= max(keep, 1), np.log10(weight), np.nan))
         starts = np.cumsum(block.sizes) - block.sizes
         each = lambda x: np.add.reduceat(x, starts)
         base = np.log10((c + 1) / (n + v + 1))
@@ -292,24 +293,27 @@ def score_block(stats: dict):
     return run
 
 
-def score_texts(df: DataFrame, held: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns where held is false."""
+def score_texts(df: DataFrame, held: Column, key: str = "doc_id", text: str = "text", keep: int = 1) -> DataFrame:
+    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns where held is false.
+    Bigrams seen less than keep times get no arc."""
     rows = df.select(F.col(key).cast("bigint").alias("doc_id"), held.alias("held"), F.col(text).alias("text"))
     blocks = materialize(rows.mapInArrow(make_blocks, BLOCK_SCHEMA), "lm-blocks")
     tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(BUCKETS, math.ceil(tokens / BUCKET))
     requests = blocks.mapInArrow(lambda batches: asked(batches, buckets), ASKED)
-    bigrams = materialize(requests.where("kind = 2").groupBy("bucket").applyInArrow(count_bigrams(buckets), TOLD), "lm-bigrams")
+    bigrams = materialize(requests.where("kind = 2").groupBy("bucket").applyInArrow(count_bigrams(buckets, keep), TOLD), "lm-bigrams")
+    release(blocks.sparkSession)
     contexts = bigrams.where("kind = 3").select("kind", "bucket", "block", "hashes", "counts", "kept", "types")
     words = requests.where("kind = 1").select("kind", "bucket", "block", "hashes", "counts", F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("binary").alias("types"))
     unigrams = materialize(words.unionByName(contexts).groupBy("bucket").applyInArrow(count_words, TOLD), "lm-words")
+    release(blocks.sparkSession)
     sums = lambda df: df.where("kind = 0").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "seen", "once", "twice")]).first()
     one, two = sums(unigrams), sums(bigrams)
     stats = {"n": one[0], "v": one[1], "d1": discount(one[2], one[3]), "d2": discount(two[2], two[3])}
     replies = bigrams.where("kind = 2").unionByName(unigrams.where("kind = 1")).select("kind", "bucket", "block", "counts", "kept", "types")
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_block(stats), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_block(stats, keep), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def corpus_scores(df: DataFrame) -> DataFrame:
+def corpus_scores(df: DataFrame, keep: int = KEEP) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
-    return score_texts(df, held)
+    return score_texts(df, held, keep=keep)

@@ -45,7 +45,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_scores(table(spark, sf_dir, "documents"))
+    return corpus_scores(table(spark, sf_dir, "documents"), keep=1)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

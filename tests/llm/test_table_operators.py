@@ -12,7 +12,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from strandset.llm import ann, components, dedup, lm, ngram_join, warc
+from strandset.llm import ann, components, dedup, lm, ngram_join, queries, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 FIELDS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -259,6 +259,27 @@ def test_language_model(spark, monkeypatch):
     assert lm.corpus_scores(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_language_model_keeps_bigrams_seen_once(spark, tmp_path):
+    texts = ["a b c", "a c", "c b d", "d a", "b b a", "c d", "", "a b d", "x y", "y a x b"]
+    rows = list(enumerate(texts * 2))
+    documents(spark, [(i, t + f" u{i} v{i % 3}") for i, t in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    token = [[*words(t + f" u{i} v{i % 3}"), "\n"] for i, t in rows]
+    c, pairs = Counter(), Counter()
+    for (i, _), t in zip(rows, token, strict=True):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(t)
+            pairs.update(zip(["\n", *t], t, strict=False))
+    n, v, cc, pc = sum(c.values()), len(c), Counter(c.values()), Counter(pairs.values())
+    d1, d2 = lm.discount(cc[1], cc[2]), lm.discount(pc[1], pc[2])
+    types = Counter(h for h, _ in pairs)
+    p1 = lambda w: max(c[w] - d1, 0) / n + d1 * v / n / (v + 1)
+    p = lambda w, h: max(pairs[h, w] - d2, 0) / c[h] + d2 * types[h] / c[h] * p1(w) if c[h] else p1(w)
+    got = {r.doc_id: r.score for r in queries.op7_lm_scores(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and pc[1]
+    for (i, _), t in zip(rows, token, strict=True):
+        assert abs(got[i] - sum(math.log10(p(w, h)) for h, w in zip(["\n", *t], t, strict=False))) < 1e-9
+
+
 def test_language_model_without_training(spark):
     got = lm.score_texts(documents(spark, [(1, "a b"), (2, None)]), F.lit(True)).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got} == {(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)}
