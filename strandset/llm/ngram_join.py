@@ -11,9 +11,11 @@ m + 1 signatures, each row may leave out its m most frequent ones: the rarest th
 many rows have in common, such as a passage, brings none together.
 
 The product then takes two steps. In each signature's group one row, the hub (in most and largest groups), is multiplied
-with the others, in blocks of bounded size; groups whose members end up in one component are done. What is left of the
-others falls into clusters (components of sharing a signature), and each cluster is multiplied block by block of rows
-and columns. Overlap counts add up over blocks of columns, and pairs under (x + y) a / (a + b) are discarded.
+with the others, in blocks of bounded size; groups whose members end up in one component are done. The rows of the other
+groups fall into clusters (components of sharing such a signature). A cluster's rows are dealt to blocks, so that large
+components have blocks of their own, and tiles of two blocks are multiplied: overlap counts add up, pairs under
+(x + y) a / (a + b) are discarded, and a tile returns a spanning forest over the components that its pairs join, so never
+more links than it has rows. Tiles within one component are left out: whatever they link is linked already.
 
 Defined results: null and empty texts have no n-grams and link with nothing; texts shorter than an n-gram are one n-gram,
 the whole sequence; equal rows, repeated ids among them, link; null ids sort last; an empty table gives an empty table;
@@ -43,10 +45,12 @@ CHUNK_CHARS = 1 << 20
 SIGNATURE_BYTES = 6
 #: Signatures for each bucket, and the least number of buckets.
 BUCKET, BUCKETS = 1 << 20, 32
-#: Rows of a block of the product; columns of a dense tile.
-ROWS, COLUMNS = 512, 4096
-#: At most so many of a row's signatures at a level are left out.
-SPARED = 24
+#: Rows that a task multiplies with one hub.
+ROWS = 512
+#: Rows and n-grams of a block of a tile; columns multiplied at once as a dense matrix.
+BLOCK_ROWS, BLOCK_GRAMS, COLUMNS = 1024, 1 << 21, 4096
+#: A column of at most so many rows is multiplied as a sparse one.
+SPARSE = 12
 
 
 def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
@@ -94,7 +98,7 @@ class Levels:
                 k = differ + 1 + spare
                 empty = k * math.exp(-low / k)
                 spare = min(math.ceil(empty + 3 * math.sqrt(empty)) if empty > 0.01 else 0, max(0, low // 4 - differ - 1))
-            more = min(SPARED, (differ + 1) // 3)
+            more = (differ + 1) // 3
             self.parts.append((differ + 1 + spare + more, spare, more))
             self.starts.append(high)
         return int(np.searchsorted(self.starts, size, "right")) - 1
@@ -147,7 +151,12 @@ def rows_of(df: DataFrame, n: int, a: int, b: int, key: str, text: str) -> DataF
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
-    """(sig, uid) of all signatures that several rows have."""
+    """(sig, uid) of all signatures that several rows have.
+
+    Signatures meet in buckets by their value. Of rows that share one within a batch, only the first goes there, with a
+    mark; the others are known to share it, and go to a bucket of the batch's own. So a signature of a third of all rows
+    brings a row a batch to its bucket.
+    """
     total = rows.agg(F.sum(F.octet_length("signatures"))).first()[0] or 0
     buckets = max(BUCKETS, math.ceil(total / SIGNATURE_BYTES / BUCKET))
     edges = bucket_edges(buckets)
@@ -164,45 +173,76 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
             owner = np.repeat(uids[first], [len(x) for x in held])
             order = np.argsort(sigs)
             sigs, owner, base = sigs[order], owner[order], int(uids.min())  # a batch may hold rows of several partitions' ids
-            cut = np.append(np.searchsorted(sigs, edges), len(sigs)).tolist()
-            spans = [(i, x, y) for i, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in spans], pa.int64()), pa.array([base] * len(spans), pa.int64()), pa.array([pack_sorted(sigs[x:y]) for _, x, y in spans], pa.binary()), pa.array([squeeze_wide(owner[x:y] - base) for _, x, y in spans], pa.binary())], ["bucket", "base", "sigs", "owners"])
+            again = np.zeros(len(sigs), bool)
+            again[1:] = sigs[1:] == sigs[:-1]
+            marked = np.append(again[1:], False)[~again]  # the first of several
+            lead, head = sigs[~again], owner[~again]
+            cut = np.append(np.searchsorted(lead, edges), len(lead)).tolist()
+            spans = [(i, lead[x:y], head[x:y], marked[x:y]) for i, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
+            if again.any():
+                spans.append((-1 - base, sigs[again], owner[again], np.ones(int(again.sum()), bool)))
+            columns = [pa.array([i for i, *_ in spans], pa.int64()), pa.array([base] * len(spans), pa.int64()), pa.array([pack_sorted(x) for _, x, _, _ in spans], pa.binary()), pa.array([squeeze_wide(x - base) for _, _, x, _ in spans], pa.binary()), pa.array([np.packbits(x).tobytes() for *_, x in spans], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "base", "sigs", "owners", "marks"])
 
     def meet(told: pa.Table) -> pa.Table:
         rows = told.to_pylist()
-        sigs = np.concatenate([unpack_sorted(r["sigs"]) for r in rows])
+        held = [unpack_sorted(r["sigs"]) for r in rows]
+        sigs = np.concatenate(held)
         owner = np.concatenate([unsqueeze_wide(r["owners"]) + r["base"] for r in rows])
+        shared = np.concatenate([np.unpackbits(np.frombuffer(r["marks"], np.uint8), count=len(x)) for r, x in zip(rows, held, strict=True)]).astype(bool)
         order = np.argsort(sigs)
-        sigs, owner = sigs[order], owner[order]
+        sigs, owner, shared = sigs[order], owner[order], shared[order]
         same = sigs[1:] == sigs[:-1]
-        shared = np.zeros(len(sigs), bool)
         shared[1:] |= same
         shared[:-1] |= same
         return pa.table([pa.array(sigs[shared].astype(np.int64)), pa.array(owner[shared])], names=["sig", "uid"])
 
-    dealt = rows.where("size > 0").select("uid", "signatures", "hi", "lo").mapInArrow(deal, "bucket bigint, base bigint, sigs binary, owners binary")
+    dealt = rows.where("size > 0").select("uid", "signatures", "hi", "lo").mapInArrow(deal, "bucket bigint, base bigint, sigs binary, owners binary, marks binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "sig bigint, uid bigint")
 
 
 def overlaps(rows: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of all pairs of rows: the incidence matrix times its transpose, tile by tile of columns. Where values
-    repeat in rows, at least the overlap of the values that they stand for."""
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    columns, index, df = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    rank = np.cumsum(df > 1) - 1  # columns of one row only add to the diagonal
-    keep = df[index] > 1
-    owner, index, n = owner[keep], rank[index[keep]], int((df > 1).sum())
-    order = np.argsort(index, kind="stable")
-    owner, index = owner[order], index[order]
-    out = np.zeros((len(rows), len(rows)), np.float32)
-    for start in range(0, n, COLUMNS):
-        x, y = np.searchsorted(index, (start, start + COLUMNS))
-        tile = np.zeros((len(rows), min(COLUMNS, n - start)), np.float32)
-        np.add.at(tile, (owner[x:y], index[x:y] - start), 1)
+    """Overlap counts of all pairs of rows, in the upper triangle: the incidence matrix times its transpose. Columns of few
+    rows add to the pairs of their rows; the others are multiplied as dense matrices, some columns at a time."""
+    n = len(rows)
+    owner = np.repeat(np.arange(n), [len(x) for x in rows])
+    _, index, df = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    owner = owner[np.argsort(index, kind="stable")]  # by column, then by row
+    starts = np.cumsum(df) - df
+    out = np.zeros((n, n), np.float32)
+    flat = out.ravel()
+    for width in range(2, SPARSE + 1):
+        at = starts[df == width]
+        held = [owner[at + i] for i in range(width)] if len(at) else []
+        for i, low in enumerate(held):
+            for high in held[i + 1 :]:
+                np.add.at(flat, low * n + high, np.float32(1))
+    dense = np.flatnonzero(df > SPARSE)
+    for a in range(0, len(dense), COLUMNS):
+        part = dense[a : a + COLUMNS]
+        widths = df[part]
+        which = np.repeat(np.arange(len(part)), widths)
+        place = np.repeat(starts[part], widths) + np.arange(len(which)) - np.repeat(np.cumsum(widths) - widths, widths)
+        tile = np.zeros((n, len(part)), np.float32)
+        tile[owner[place], which] = 1
         out += tile @ tile.T
     return out
 
 
+def forest(counts: np.ndarray, sizes: np.ndarray, roots: np.ndarray, a: int, b: int) -> list[tuple[int, int]]:
+    """Linked pairs of rows that join all components that linked rows join: fewer than there are rows."""
+    _, mark = np.unique(roots, return_inverse=True)
+    mark, found = mark.copy(), []
+    for i in range(len(sizes) - 1):
+        later = counts[i, i + 1 :].astype(np.int64)
+        near = i + 1 + np.flatnonzero(linked(later, sizes[i], sizes[i + 1 :], a, b))
+        for j in near[mark[near] != mark[i]].tolist():
+            if mark[j] != mark[i]:
+                mark[mark == mark[j]] = mark[i]
+                found.append((i, j))
+    return found
+
+
 def star_product(pairs: DataFrame, sets: DataFrame, column: str, kind: str, a: int, b: int) -> DataFrame:
     """(a, b) of the pairs (hub, rep) whose overlap, in a column of hashes, suffices: hubs times blocks of rows."""
 
@@ -280,22 +320,34 @@ def jaccard_links(df: DataFrame, n: int, a: int, b: int, key: str = "doc_id", te
     clusters = materialize(connected_components(chained), "join-clusters").withColumnRenamed("node", "rep").withColumnRenamed("root", "cluster")
     if clusters.isEmpty():
         return rows, members, links
-    counted = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / (ROWS // 2)).alias("blocks"))
-    placed = clusters.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(counted, "cluster").withColumn("root", F.coalesce("root", "rep")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
-    tiles = placed.select("cluster", "rep", "root", "own", other).select("cluster", "rep", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return rows, members, links.unionByName(cluster_links(clusters, roots, sets, members, a, b))
+
+
+def cluster_links(clusters: DataFrame, roots: DataFrame, sets: DataFrame, members: DataFrame, a: int, b: int) -> DataFrame:
+    """(a, b): links between rows of a cluster that are of different components."""
+    sized = clusters.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    placed = materialize(sized.join(members.where("uid = rep").select("rep", "size"), "rep"), "join-placed-rows")
+    # A component of a block or more has its own blocks (home is its root); the others of a cluster share some.
+    load = F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("size") / BLOCK_GRAMS)
+    own = placed.groupBy("cluster", "root").agg(load.alias("load"))
+    own = own.withColumn("home", F.when(F.col("load") >= 1, F.col("root")))
+    homes = own.groupBy("cluster", "home").agg(F.ceil(F.sum("load")).alias("parts"))
+    blocks = homes.select("cluster", "home", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    blocks = materialize(blocks.select("cluster", "home", "part", F.struct(F.coalesce("home", F.lit(-1)).alias("home"), "part").alias("block")), "join-blocks")
+    one, two = blocks.select("cluster", F.col("home").alias("home1"), F.col("block").alias("one")), blocks.select("cluster", F.col("home").alias("home2"), F.col("block").alias("two"))
+    tiles = one.join(two, "cluster").where((F.col("one") <= F.col("two")) & (F.col("home1").isNull() | F.col("home2").isNull() | (F.col("home1") != F.col("home2")))).select("cluster", "one", "two")
+    sides = tiles.select("cluster", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    where = placed.join(own.select("cluster", "root", "home"), ["cluster", "root"]).join(homes.select("cluster", F.coalesce("home", F.lit(-1)).alias("at"), "parts"), ["cluster"]).where(F.col("at") == F.coalesce("home", F.lit(-1)))
+    where = where.select("cluster", "rep", "root", F.struct(F.col("at").alias("home"), F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")).alias("block"))
 
     def product(tile: pa.Table) -> pa.Table:
-        held = [np.frombuffer(x, "<u2") for x in tile["brief"].to_pylist()]
-        reps, own = tile["rep"].to_numpy(), tile["root"].to_numpy()
-        sizes = np.array([len(x) for x in held])
-        hit = linked(overlaps(held).astype(np.int64), sizes[:, None], sizes[None, :], a, b) & (own[:, None] != own[None, :])
-        x, y = np.nonzero(np.triu(hit, 1))
-        return pa.table([pa.array(reps[x]), pa.array(reps[y])], names=["hub", "rep"])
-
-    likely = tiles.join(sets, "rep").select("cluster", "i", "j", "rep", "root", "brief").groupBy("cluster", "i", "j").applyInArrow(product, "hub bigint, rep bigint")
-    likely = materialize(likely.distinct(), "join-apart")
-    return rows, members, links.unionByName(materialize(star_product(likely, sets, "grams", "<u8", a, b), "join-more"))
+        held = [np.frombuffer(x, "<u8") for x in tile["grams"].to_pylist()]
+        reps = tile["rep"].to_numpy()
+        found = forest(overlaps(held), np.array([len(x) for x in held]), tile["root"].to_numpy(), a, b)
+        return pa.table([pa.array(reps[[i for i, _ in found]]), pa.array(reps[[j for _, j in found]])], names=["a", "b"])
+
+    dealt = where.join(sides, ["cluster", "block"]).join(sets.select("rep", "grams"), "rep")
+    return materialize(dealt.select("cluster", "one", "two", "rep", "root", "grams").groupBy("cluster", "one", "two").applyInArrow(product, "a bigint, b bigint"), "join-more")
 
 
 def incidence(df: DataFrame, wanted: DataFrame, rows: DataFrame, n: int, key: str, text: str) -> DataFrame:
