@@ -85,7 +85,7 @@ def cuts(ids: np.ndarray, ends: np.ndarray, final: np.ndarray, size: int = SIZE,
     return out[::-1]
 
 
-def pack_sequences(df: DataFrame, tokenizer: str, end: int = 1, size: int = SIZE, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_sequences(df: DataFrame, tokenizer: str, end: int = 1, size: int = SIZE, with_ids: bool = False, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of sequences of at most size ids."""
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<bigint>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
@@ -109,7 +109,7 @@ def pack_sequences(df: DataFrame, tokenizer: str, end: int = 1, size: int = SIZE
     def run(batches):
         first = TaskContext.get().partitionId() << 32
         keys, held, total = [], [], 0
-        for more, ids in encoded(batches, tokenizer, "words", end):
+        for more, ids in encoded(batches, tokenizer, "words", end, added):
             keys += more
             held += ids
             total += sum(map(len, ids))

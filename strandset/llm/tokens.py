@@ -32,7 +32,8 @@ from .bpe import WHITE_SPACE, PieceCache
 from .common import materialize, scratch, text_slices
 
 CHUNK_CHARS = 1 << 19
-BLOCK = 256
+#: Ids of a block, and of one in a file: small enough that many blocks of a text are packed side by side.
+BLOCK, FILE_BLOCK = 1024, 256
 MAGIC = int.from_bytes(b"S8BSEG01", "little")
 END = "S8B-END\n"
 #: Bits and ids a word by selector; 0 escapes, 1 is not in use.
@@ -135,7 +136,7 @@ def unpack_words(words: np.ndarray, starts: np.ndarray, n: int, block: int = BLO
 def write_segment(keys: list[int | None], ids: list[np.ndarray], partition: int) -> bytes:
     counts = np.fromiter(map(len, ids), "<u8", len(ids))
     values = np.concatenate(ids) if ids else np.empty(0, np.uint64)
-    words, starts = pack_words(values)
+    words, starts = pack_words(values, FILE_BLOCK)
     header = np.array([MAGIC, partition, len(ids), len(values), len(starts) - 1, len(words)], "<u8")
     named = np.array([0 if x is None else x for x in keys], "<i8")
     null = np.array([x is None for x in keys], "u1")
@@ -160,7 +161,7 @@ def read_segments(content: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         words = np.frombuffer(content, "<u8", n_words, at + 17 * docs + 8 * (blocks + 1))
         if counts.sum() != n or starts[-1] != n_words:
             raise ValueError("counts of a segment disagree")
-        yield partition, keys, null, counts, unpack_words(words, starts, n)
+        yield partition, keys, null, counts, unpack_words(words, starts, n, FILE_BLOCK)
         at += total - 48 + len(end)
 
 
@@ -180,14 +181,18 @@ class LibraryTokenizer:
     Most texts can be cut before every blank, comma and full stop: where a letter or digit stands before each comma and
     stop, and no blank stands between white space. Others are cut by a pattern, at white space only. Byte-level files
     ("bytes") take a blank before a piece as its part and encode other white space; files for words drop it.
+
+    The strings of added tokens, such as "<|endoftext|>", are ordinary text, unless `added`: then they get the tokens' ids,
+    as from the library by default, which encodes texts that hold one whole.
     """
 
-    def __init__(self, path: str, by: str):
+    def __init__(self, path: str, by: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.own, self.by, self.cache = Tokenizer.from_file(path), by, PieceCache()
-        self.own.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.own.encode_special_tokens = not added
+        self.added = [x.content for x in self.own.get_added_tokens_decoder().values()] if added else []
         word = f"[^{GAP}]+"
         self.plain = re.compile(f" ?[{PLAIN}]+" if by == "bytes" else f"[{PLAIN}]+").fullmatch
         self.pattern = re.compile(f" ?{word}|[{GAP}]+(?![^{GAP}])|[{GAP}]+?(?=[{GAP}]?[^{GAP}])" if by == "bytes" else word).findall
@@ -223,19 +228,25 @@ class LibraryTokenizer:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        marked = [i for i, x in enumerate(texts) if any(s in x for s in self.added)]
         found = [self.pieces(x) for x in texts]
+        for i in marked:
+            found[i] = []
         first = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
-        return self.cache.ids(list(chain.from_iterable(found)), first, self.unseen)
+        ids = self.cache.ids(list(chain.from_iterable(found)), first, self.unseen)
+        for i in marked:
+            ids[i] = np.array(self.own.encode(texts[i], add_special_tokens=False).ids, "<u4")
+        return ids
 
 
 @functools.cache
-def library_tokenizer(path: str, by: str) -> LibraryTokenizer:
-    return LibraryTokenizer(path, by)
+def library_tokenizer(path: str, by: str, added: bool) -> LibraryTokenizer:
+    return LibraryTokenizer(path, by, added)
 
 
-def encoded(batches: Iterable[pa.RecordBatch], path: str, by: str, end: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def encoded(batches: Iterable[pa.RecordBatch], path: str, by: str, end: int, added: bool = False) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Keys and ids, each text's ids followed by the end id, of (key, text) batches."""
-    own, last = library_tokenizer(path, by), np.array([end], "<u4")
+    own, last = library_tokenizer(path, by, added), np.array([end], "<u4")
     for batch in batches:
         for part, texts in text_slices(batch, 1, CHUNK_CHARS):
             yield part.column(0).to_pylist(), [np.concatenate([x, last]) for x in own.encode(texts)]
@@ -287,9 +298,9 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", kind.split()[0])
 
 
-def token_digests(df: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
+def token_digests(df: DataFrame, tokenizer: str, end: int = 0, added: bool = False) -> DataFrame:
     """Encode, write, read back: per document its place, its number of ids and their CRC-32."""
     spark = df.sparkSession
     out = scratch(spark, "token-files")
-    write_token_files(df, out, lambda batches: encoded(batches, tokenizer, "bytes", end))
+    write_token_files(df, out, lambda batches: encoded(batches, tokenizer, "bytes", end, added))
     return read_token_files(spark, out, digest=True)

@@ -223,3 +223,22 @@ def test_html_oddities(spark):
     by = dict((k, t) for k, t, _ in found)
     assert by[1] == by[2] == by[7] == "" and by[None] == "deep" and len(by[8]) > 300 * 400
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_added_tokens_as_the_library_takes_them(spark):
+    texts = [*odd_texts(300, 4), "hi <|endoftext|> there", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> a", "x<|endoftext|>, y" * 3, "none"]
+    for path, by in ((BYTE_JSON, "bytes"), (WORD_JSON, "words")):
+        library = Tokenizer.from_file(path)
+        assert [x.tolist() for x in tokens.LibraryTokenizer(path, by, added=True).encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    library = Tokenizer.from_file(BYTE_JSON)
+    rows = {r.doc_id: r for r in tokens.token_digests(documents(spark, texts), BYTE_JSON, added=True).collect()}
+    for i, text in enumerate(texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        assert (rows[i].n_tokens, rows[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_blocks_of_a_file():
+    values = np.zeros(600, np.uint64)
+    words, starts = tokens.pack_words(values, 256)
+    assert len(words) == 12 and starts.tolist() == [0, 5, 10, 12]
+    assert (tokens.unpack_words(words, starts, 600, 256) == values).all()
