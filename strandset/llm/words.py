@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
-_rng = np.random.Generator(np.random.Philox(key=[2024, 1]))
-#: A random value for each byte; A-Z as a-z.
-BYTES = _rng.integers(0, 1 << 64, 256, np.uint64)
-BYTES[65:91] = BYTES[97:123]
-STEP = np.uint64(int(_rng.integers(0, 1 << 63)) * 2 + 1)
+#: Each byte, A-Z as a-z; the bytes between words.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+GAP = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Lanes of up to 8 bytes: what of a lane belongs to a word that has so many bytes left.
+LANES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,26 +26,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts with A-Z lower-cased, and how many each text has."""
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts with A-Z lower-cased, and how many each text has.
+
+    A word's state starts from its length and takes up 8 bytes a step, mixed after each, so words of at most 8 bytes and
+    equal length never meet, and patterns in longer ones do not cancel."""
     parts = [x.encode() for x in texts]
-    buf = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-    gap = (buf == 32) | ((buf >= 9) & (buf <= 13))
-    before = np.ones(len(buf), bool)
-    before[1:] = gap[:-1]
-    starts = np.flatnonzero(before & ~gap)
+    joined = b"\n".join(parts) + b"\n"
+    buf = LOWER[np.frombuffer(joined + bytes(8), np.uint8)]
+    gap = GAP[buf[: len(joined)]]
+    edge = np.flatnonzero(np.diff(gap, prepend=True))
+    starts, stops = edge[::2], edge[1::2]
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     counts = np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
-    if not len(starts):
-        return np.empty(0, np.uint64), counts
-    stops = np.flatnonzero(gap & ~before)
-    stops = stops[np.searchsorted(stops, starts[0]) :]
-    spans = np.diff(np.append(starts, len(buf)))
-    place = np.arange(starts[0], len(buf)) - np.repeat(starts, spans)
     lengths = stops - starts
-    powers = np.ones(int(lengths.max()) + 1, np.uint64)
-    powers[1:] = STEP
-    powers = np.cumprod(powers, dtype=np.uint64)
-    values = BYTES[buf[starts[0] :]]
-    values[gap[starts[0] :]] = 0
-    values *= powers[np.minimum(place, len(powers) - 1)]
-    return mix(np.add.reduceat(values, starts - starts[0]) + mix(lengths.astype(np.uint64))), counts
+    state = mix(lengths.astype(np.uint64))
+    lanes = np.ndarray((len(joined) + 1,), "<u8", buffer=buf, strides=(1,))
+    place = np.flatnonzero(lengths <= LONG)
+    at, left = starts[place], lengths[place]
+    while len(place):
+        state[place] = mix(state[place] ^ lanes[at] & LANES[np.minimum(left, 8)])
+        more = left > 8
+        place, at, left = place[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        state[i] = int.from_bytes(blake2b(buf[starts[i] : stops[i]].tobytes(), digest_size=8).digest(), "little")
+    return state, counts
