@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import materialize, release, scratch
 
 #: State on disk, with logs of changes for checkpoints, and no more open at once than there are tasks.
 STORE = {
@@ -46,15 +46,22 @@ def sha256(text: Column) -> Column:
 def has_files(df: DataFrame) -> bool:
     """Whether df's rows can be located in files."""
     try:
-        df.select("_metadata.row_index")
+        df.select(*places(df)).schema
     except AnalysisException:
         return False
     return True
 
 
-def locate(df: DataFrame) -> DataFrame:
-    """df, which has files, with the locator of each row: (__file, __row)."""
-    return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+def places(df: DataFrame) -> list[Column]:
+    """The locator (file, row) of each row of df, which has files. Columns of df, whatever their names, do not hide it."""
+    found = df.metadataColumn("_metadata")
+    return [found["file_path"].alias("file"), found["row_index"].alias("row")]
+
+
+def without(df: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of df, which has files, whose locators are not among the dropped (file, row)."""
+    whole = df.select(F.struct(*[F.col(f"`{x}`") for x in df.columns]).alias("whole"), *places(df))
+    return whole.join(dropped, ["file", "row"], "left_anti").select("whole.*")
 
 
 def stream_groups(spark: SparkSession, digests: str, schema: str, checkpoint: str, out: str, files_per_batch: int | None = None) -> DataFrame:
@@ -87,11 +94,11 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", digest=
     """A row for each row of df: (doc_id, keep_id, group_size, kept, text_sha256, file, row)."""
     spark = df.sparkSession
     source = df if has_files(df) else materialize(df.select(key, text), "dedup-content")
-    located = source.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    located = source.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *places(source))
     body = normalised(F.col("text"))
     schema = "doc_id bigint, size bigint, digest string, sha string, file string, row bigint"
     digests = scratch(spark, "dedup-digests")
-    rows = located.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("size"), digest(body).alias("digest"), sha256(body).alias("sha"), F.col("__file").alias("file"), F.col("__row").alias("row"))
+    rows = located.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("size"), digest(body).alias("digest"), sha256(body).alias("sha"), "file", "row")
     if digest is sha256:
         rows, schema = rows.drop("sha"), schema.replace("sha string, ", "")
     rows.write.option("compression", "zstd").parquet(digests)
@@ -104,10 +111,10 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", digest=
     hits = rows.join(groups.where("copies > 1").select("digest"), "digest", "left_semi").select("file", "row", "digest")
     hits = materialize(hits, "dedup-hits")
     # By sorting and merging at every size: hits grow with the table.
-    contents = located.select(F.col("__file").alias("file"), F.col("__row").alias("row"), body.alias("body")).join(hits.hint("merge"), ["file", "row"]).groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
+    contents = located.select("file", "row", body.alias("body")).join(hits.hint("merge"), ["file", "row"]).groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
     collided = materialize(contents.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "dedup-collisions")
     if not collided.isEmpty():
-        again = located.select(F.col("__file").alias("file"), F.col("__row").alias("row"), body.alias("body"))
+        again = located.select("file", "row", body.alias("body"))
         texts = again.join(hits.join(collided, "digest", "left_semi"), ["file", "row"]).select("file", "row", F.concat("digest", F.lit("/"), F.col("body")).alias("split"))
         rows = materialize(rows.join(texts, ["file", "row"], "left").withColumn("digest", F.coalesce("split", "digest")).drop("split"), "dedup-split")
         rank = F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "file", "row")
@@ -127,5 +134,6 @@ def dedup_report(df: DataFrame) -> DataFrame:
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of df, all columns, that stay."""
     source = df if has_files(df) else materialize(df, "dedup-input")
-    dropped = exact_groups(source, text, key).where(~F.col("kept")).select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    return locate(source).join(dropped, ["__file", "__row"], "left_anti").select(*[F.col(f"`{x}`") for x in df.columns])
+    dropped = materialize(exact_groups(source, text, key).where(~F.col("kept")).select("file", "row"), "dedup-dropped")
+    release(df.sparkSession)  # the shuffle of the check
+    return without(source, dropped)

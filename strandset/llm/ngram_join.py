@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from .common import discard, materialize, release, text_slices
 from .components import connected_components
-from .dedup import has_files, locate
+from .dedup import has_files, places, without
 from .lm import bucket_edges, narrow, pack_sorted, squeeze_wide, unpack_sorted, unsqueeze_wide, widen
 from .words import mix, word_hashes
 
@@ -146,7 +146,7 @@ def rows_of(df: DataFrame, n: int, a: int, b: int, key: str, text: str) -> DataF
                 uid += len(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(uids), part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x for x, _ in prints], pa.int64()), pa.array([x for _, x in prints], pa.int64()), pa.array(signs, pa.binary()), part.column(2), part.column(3)], ["uid", "doc_id", "size", "hi", "lo", "signatures", "file", "row"])
 
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if has_files(df) else [F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("row")]
+    place = places(df) if has_files(df) else [F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("row")]
     return df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *place).mapInArrow(run, "uid bigint, doc_id bigint, size bigint, hi bigint, lo bigint, signatures binary, file string, row bigint")
 
 
@@ -202,7 +202,7 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
 
 
 def overlaps(rows: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of all pairs of rows, in the upper triangle: the incidence matrix times its transpose. Columns of few
+    """Overlap counts of all pairs of rows: the incidence matrix times its transpose. Columns of few
     rows add to the pairs of their rows; the others are multiplied as dense matrices, some columns at a time."""
     n = len(rows)
     owner = np.repeat(np.arange(n), [len(x) for x in rows])
@@ -217,6 +217,7 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
         for i, low in enumerate(held):
             for high in held[i + 1 :]:
                 np.add.at(flat, low * n + high, np.float32(1))
+    out += out.T
     dense = np.flatnonzero(df > SPARSE)
     for a in range(0, len(dense), COLUMNS):
         part = dense[a : a + COLUMNS]
@@ -386,8 +387,9 @@ def jaccard_components(df: DataFrame, n: int, a: int, b: int, key: str = "doc_id
 def one_of_each(df: DataFrame, n: int = 5, a: int = 80, b: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, all columns, with one of each component."""
     source = df if has_files(df) else materialize(df, "join-input")
-    dropped = jaccard_components(source, n, a, b, key, text).where(~F.col("stays")).select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    return locate(source).join(dropped, ["__file", "__row"], "left_anti").select(*[F.col(f"`{x}`") for x in df.columns])
+    dropped = materialize(jaccard_components(source, n, a, b, key, text).where(~F.col("stays")).select("file", "row"), "join-dropped")
+    release(df.sparkSession)
+    return without(source, dropped)
 
 
 def component_report(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from strandset.llm import ann, components, dedup, lm, ngram_join, queries, warc
+from strandset.llm.words import word_hashes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 FIELDS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -341,3 +342,25 @@ def test_pipeline(spark, tmp_path):
     assert kept == [set(range(39)), {*range(30), *range(34, 39)}, set(range(30))]
     got = pipeline.run(spark, str(folder))
     assert {r.doc_id for r in got.collect()} == set(range(30))
+
+
+def test_word_hashes_are_told_apart_by_all_their_bytes():
+    swapped = str.maketrans("ab", "ba")
+    word = "a"
+    for _ in range(12):
+        word += word.translate(swapped)
+        hashes, counts = word_hashes([f"{word}\t{word.translate(swapped)} {word.upper()}", ""])
+        assert counts.tolist() == [3, 0] and hashes[0] != hashes[1] and hashes[0] == hashes[2]
+    rng = np.random.default_rng(8)
+    words = sorted({"".join(rng.choice(list("abü\x01"), rng.integers(1, 140))) for _ in range(4000)})
+    hashes, counts = word_hashes([" ".join(words[:100]), " ".join(words[100:]), "  "])
+    assert counts.tolist() == [100, len(words) - 100, 0] and len(np.unique(hashes)) == len(words)
+    assert (word_hashes([x + "\n" for x in words])[0] == hashes).all()
+
+
+def test_columns_of_any_name_are_carried(spark):
+    rows = [(1, "a b c d e f"), (2, "a b  c d e f"), (3, None), (4, "a b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' as __file", "7 as __row", "1 as file", "2 as row", "named_struct('row_index', 5) as _metadata", "'w' as whole", "0 as size")
+    for got, stay in ((dedup.deduplicate(df), {2, 3}), (ngram_join.one_of_each(df), {1, 3})):
+        assert got.columns == df.columns
+        assert {(x.doc_id, x["__file"], x["file"], x["row"], x["_metadata"].row_index, x["whole"]) for x in got.collect()} == {(i, "x", 1, 2, 5, "w") for i in stay}
