@@ -1,6 +1,7 @@
 """Every registered query over alignments against its DuckDB counterpart."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +21,7 @@ def duck():
 
 def canonical(df):
     columns = sorted(df.columns)
-    plain = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    plain = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return columns, sorted([tuple(map(plain, row)) for row in df[columns].astype(object).itertuples(index=False)], key=str)
 
 
