@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, scratch
+from .common import materialize, scratch, temporary
 
 #: State on disk, with logs of changes for checkpoints, and no more open at once than there are tasks.
 STORE = {
@@ -134,6 +134,7 @@ def dedup_report(df: DataFrame) -> DataFrame:
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of df, all columns, that stay."""
     source = df if has_files(df) else materialize(df, "dedup-input")
-    dropped = materialize(exact_groups(source, text, key).where(~F.col("kept")).select("file", "row"), "dedup-dropped")
-    release(df.sparkSession)  # the shuffle of the check
+    path = scratch(df.sparkSession, "dedup-dropped")
+    with temporary(df.sparkSession):
+        dropped = materialize(exact_groups(source, text, key).where(~F.col("kept")).select("file", "row"), "dedup-dropped", path)
     return without(source, dropped)

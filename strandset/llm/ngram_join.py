@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialize, release, text_slices
+from .common import discard, materialize, release, scratch, temporary, text_slices
 from .components import connected_components
 from .dedup import has_files, places, without
 from .lm import bucket_edges, narrow, pack_sorted, squeeze_wide, unpack_sorted, unsqueeze_wide, widen
@@ -387,8 +387,9 @@ def jaccard_components(df: DataFrame, n: int, a: int, b: int, key: str = "doc_id
 def one_of_each(df: DataFrame, n: int = 5, a: int = 80, b: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, all columns, with one of each component."""
     source = df if has_files(df) else materialize(df, "join-input")
-    dropped = materialize(jaccard_components(source, n, a, b, key, text).where(~F.col("stays")).select("file", "row"), "join-dropped")
-    release(df.sparkSession)
+    path = scratch(df.sparkSession, "join-dropped")
+    with temporary(df.sparkSession):
+        dropped = materialize(jaccard_components(source, n, a, b, key, text).where(~F.col("stays")).select("file", "row"), "join-dropped", path)
     return without(source, dropped)
 
 
