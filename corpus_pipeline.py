@@ -12,7 +12,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandset.llm.common import materialize, table
+from strandset.llm.common import discard, materialize, table
 from strandset.llm.dedup import deduplicate
 from strandset.llm.langid import known_language, learn
 from strandset.llm.ngram_join import one_of_each
@@ -48,5 +48,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            discard(before)
     return docs
