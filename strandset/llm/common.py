@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -78,6 +79,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give freed memory of this Python worker back to the system: workers outlive their tasks, beside others of the executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(library := ctypes.CDLL(None), "malloc_trim"):
+        library.malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LETTER, classes
-from .common import text_slices
+from .common import text_slices, trim
 
 DIMENSIONS = 1024
 ORDER = 3
@@ -200,5 +200,6 @@ def known_language(df: DataFrame, prototypes: dict[str, np.ndarray], least: floa
                     vectors = bundles(owner, grams, len(texts))
                     keep &= (enough < evidence) | ((vectors @ unit).max(axis=1) >= least * np.linalg.norm(vectors, axis=1))
                 yield part.filter(pa.array(keep))
+        trim()
 
     return df.mapInArrow(run, df.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialize, release, scratch, temporary, text_slices
+from .common import chunks, discard, materialize, release, scratch, temporary, text_slices, trim
 from .components import connected_components
 from .dedup import has_files, places, without
 from .lm import bucket_edges, narrow, pack_sorted, squeeze_wide, unpack_sorted, unsqueeze_wide, widen
@@ -47,8 +47,8 @@ SIGNATURE_BYTES = 6
 BUCKET, BUCKETS = 1 << 20, 32
 #: Rows that a task multiplies with one hub.
 ROWS = 512
-#: Rows and n-grams of a block of a tile; columns multiplied at once as a dense matrix.
-BLOCK_ROWS, BLOCK_GRAMS, COLUMNS = 1024, 1 << 21, 4096
+#: Rows and n-grams of a block of a tile; entries of the columns multiplied at once as a dense matrix.
+BLOCK_ROWS, BLOCK_GRAMS, ENTRIES = 1024, 1 << 20, 1 << 19
 #: A column of at most so many rows is multiplied as a sparse one.
 SPARSE = 12
 
@@ -145,6 +145,7 @@ def rows_of(df: DataFrame, n: int, a: int, b: int, key: str, text: str) -> DataF
                 uids = np.arange(uid, uid + len(texts))
                 uid += len(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(uids), part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x for x, _ in prints], pa.int64()), pa.array([x for _, x in prints], pa.int64()), pa.array(signs, pa.binary()), part.column(2), part.column(3)], ["uid", "doc_id", "size", "hi", "lo", "signatures", "file", "row"])
+        trim()
 
     place = places(df) if has_files(df) else [F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("row")]
     return df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *place).mapInArrow(run, "uid bigint, doc_id bigint, size bigint, hi bigint, lo bigint, signatures binary, file string, row bigint")
@@ -183,6 +184,7 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
                 spans.append((-1 - base, sigs[again], owner[again], np.ones(int(again.sum()), bool)))
             columns = [pa.array([i for i, *_ in spans], pa.int64()), pa.array([base] * len(spans), pa.int64()), pa.array([pack_sorted(x) for _, x, _, _ in spans], pa.binary()), pa.array([squeeze_wide(x - base) for _, _, x, _ in spans], pa.binary()), pa.array([np.packbits(x).tobytes() for *_, x in spans], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "base", "sigs", "owners", "marks"])
+        trim()
 
     def meet(told: pa.Table) -> pa.Table:
         rows = told.to_pylist()
@@ -219,8 +221,9 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
                 np.add.at(flat, low * n + high, np.float32(1))
     out += out.T
     dense = np.flatnonzero(df > SPARSE)
-    for a in range(0, len(dense), COLUMNS):
-        part = dense[a : a + COLUMNS]
+    held = np.maximum(df[dense], n // 4)  # so a matrix has at most four places an entry
+    for a, b in chunks(held.tolist(), ENTRIES):
+        part = dense[a:b]
         widths = df[part]
         which = np.repeat(np.arange(len(part)), widths)
         place = np.repeat(starts[part], widths) + np.arange(len(which)) - np.repeat(np.cumsum(widths) - widths, widths)
@@ -253,9 +256,11 @@ def star_product(pairs: DataFrame, sets: DataFrame, column: str, kind: str, a: i
             row = np.unique(np.frombuffer(hub["own"][0].as_py(), kind))
             held = [np.frombuffer(x, kind) for x in others["hashes"].to_pylist()]
             sizes = np.array([len(x) for x in held])
-            flat = np.concatenate(held)
-            at = np.minimum(np.searchsorted(row, flat), len(row) - 1)
-            overlap = np.add.reduceat((row[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            overlap = np.empty(len(held), np.int64)
+            for low, high in chunks(sizes.tolist(), ENTRIES):
+                flat = np.concatenate(held[low:high])
+                at = np.minimum(np.searchsorted(row, flat), len(row) - 1)
+                overlap[low:high] = np.add.reduceat(row[at] == flat, np.cumsum(sizes[low:high]) - sizes[low:high], dtype=np.int64)
             ok = linked(overlap, len(hub["own"][0].as_py()) // row.itemsize, sizes, a, b)
             found = others["rep"].filter(pa.array(ok)).to_pylist()
         return pa.table([pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
@@ -345,6 +350,7 @@ def cluster_links(clusters: DataFrame, roots: DataFrame, sets: DataFrame, member
         held = [np.frombuffer(x, "<u8") for x in tile["grams"].to_pylist()]
         reps = tile["rep"].to_numpy()
         found = forest(overlaps(held), np.array([len(x) for x in held]), tile["root"].to_numpy(), a, b)
+        trim()
         return pa.table([pa.array(reps[[i for i, _ in found]]), pa.array(reps[[j for _, j in found]])], names=["a", "b"])
 
     dealt = where.join(sides, ["cluster", "block"]).join(sets.select("rep", "grams"), "rep")
@@ -360,6 +366,7 @@ def incidence(df: DataFrame, wanted: DataFrame, rows: DataFrame, n: int, key: st
                 sets = ngram_sets(texts, n)
                 prints = [fingerprint(x) for x in sets]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in prints], pa.int64()), pa.array([x for _, x in prints], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()), pa.array([(x >> np.uint64(48)).astype("<u2").tobytes() for x in sets], pa.binary())], ["hi", "lo", "grams", "brief"])
+        trim()
 
     texts = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
     # By sorting and merging at every size: what is wanted grows with the table.

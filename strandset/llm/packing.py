@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import trim
 from .tokens import encoded, in_key_order
 
 SIZE = 2048
@@ -120,5 +121,6 @@ def pack_sequences(df: DataFrame, tokenizer: str, end: int = 1, size: int = SIZE
                 yield out
         if held:
             yield emit(keys, held, first)[0]
+        trim()
 
     return in_key_order(df, key, text).mapInArrow(run, schema)
