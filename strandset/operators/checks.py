@@ -78,7 +78,7 @@ def flag_set_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("expected")).unionAll(b.exceptAll(a).withColumn("side", F.lit("actual")))
 
 
-def compare_texts(expected: str, actual: str, kind: str) -> dict | None:
+def compare_texts(expected: str, actual: str, kind: str = "metrics_text") -> dict | None:
     """The first line in which two texts differ."""
     a, b = expected.split("\n"), actual.split("\n")
     for i in range(max(len(a), len(b))):
@@ -93,6 +93,21 @@ def metrics_lines(text: str) -> list[str]:
     return [x for x in text.split("\n") if not x.startswith("#")]
 
 
+def compare_metrics(expected: str, actual: str) -> dict | None:
+    """The first line, comments not counted, in which two reports differ."""
+    return compare_texts("\n".join(metrics_lines(expected)), "\n".join(metrics_lines(actual)), "metrics_data")
+
+
+def peak_pending(mates: DataFrame) -> DataFrame:
+    """(peak), one row: the most reads that wait for their mate at once, in file order; orphans wait to the end. mates:
+    operators.marking.mates. Steps add up within bins of 65,536 records, on top of what the bins before leave open."""
+    steps = mates.select("record_id", F.when(F.col("arrival") % 2 == 1, 1).otherwise(-1).alias("step"), F.floor(F.col("record_id") / 65536).alias("bin"))
+    bins = steps.groupBy("bin").agg(F.sum("step").alias("total"))
+    open_before = bins.select("bin", F.coalesce(F.sum("total").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    highest = steps.withColumn("inside", F.sum("step").over(Window.partitionBy("bin").orderBy("record_id"))).groupBy("bin").agg(F.max("inside").alias("inside"))
+    return highest.join(open_before, "bin").agg(F.coalesce(F.max(F.col("inside") + F.col("before")), F.lit(0)).alias("peak"))
+
+
 def five_prime_buckets(alignments: DataFrame) -> DataFrame:
     """(ref_id, uc5, reverse, reads) of placed primary and supplementary reads. Soft clips count, hard ones do not; places
     are 1-based and the reverse end inclusive."""

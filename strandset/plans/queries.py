@@ -164,6 +164,11 @@ def orphan_reads(spark, sf_dir):
     return M.orphans(reads_of(spark, sf_dir))
 
 
+@query(keyed_sql() + """select coalesce(max(waiting), 0)::bigint as peak from (select sum(case when arrival % 2 = 1 then 1 else -1 end) over (order by record_id rows unbounded preceding) as waiting from n)""")
+def peak_pending_mates(spark, sf_dir):
+    return C.peak_pending(M.mates(reads_of(spark, sf_dir)))
+
+
 @query(keyed_sql() + "select id1, id2, library_idx, ref_lo, pos_lo, rev_lo, ref_hi, pos_hi, rev_hi, score from p")
 def pair_keys(spark, sf_dir):
     return M.pairs(reads_of(spark, sf_dir)).select("id1", "id2", "library_idx", "ref_lo", "pos_lo", "rev_lo", "ref_hi", "pos_hi", "rev_hi", "score")
@@ -194,6 +199,11 @@ def duplicate_record_ids(spark, sf_dir):
     return M.duplicate_ids(M.prepared(reads_of(spark, sf_dir)))
 
 
+@query(keyed_sql() + "select count(distinct record_id) as duplicates from dup")
+def duplicate_set_size(spark, sf_dir):
+    return M.duplicate_ids(M.prepared(reads_of(spark, sf_dir))).agg(F.count_distinct("record_id").alias("duplicates"))
+
+
 FLAGGED = "case when dup.record_id is null then v.flags & ~1024 else v.flags | 1024 end"
 
 
@@ -267,7 +277,21 @@ def per_library_metrics(spark, sf_dir):
     return found.withColumn("percent_duplication", F.round("percent_duplication", 6))
 
 
-@query()
+@query(keyed_sql() + f""",
+one as (select ct.*, {PERCENT} as percent, {library_size_sql('pairs_examined', 'pair_dups')} as size from ct),
+bins as (select row_number() over (order by bin) as k, bin, sets,
+             case when bin <= 100 and size > 0 then size * (1 - exp(-bin::double * pairs_examined / size::double)) / (pairs_examined - pair_dups) else 0.0 end as cover
+      from sz, one where size is not null and bin >= 1 and sets > 0),
+lines as (select 1 as line, '## htsjdk.samtools.metrics.StringHeader' as text union all select 2, '# strandset INPUT=lineitem OUTPUT=stdout'
+      union all select 3, '## htsjdk.samtools.metrics.StringHeader' union all select 5, '' union all select 6, '## METRICS CLASS' || chr(9) || 'picard.sam.DuplicationMetrics'
+      union all select 7, '{"' || chr(9) || '".join(R.COLUMNS)}'
+      union all select 8, concat_ws(chr(9), 'lib1', unpaired_examined, pairs_examined, secondary_or_supplementary, unmapped, unpaired_dups, pair_dups, 0,
+                                    regexp_replace(format('{{:.6f}}', percent::double), '\\.?0+$', ''), coalesce(size::bigint::varchar, '')) from one
+      union all select 9, '' union all select 10, '## HISTOGRAM' || chr(9) || 'java.lang.Double' from one where size is not null
+      union all select 11, concat_ws(chr(9), 'BIN', 'CoverageMult', 'all_sets', 'non_optical_sets') from one where size is not null
+      union all select 11 + k, concat_ws(chr(9), format('{{:.1f}}', bin::double), regexp_replace(format('{{:.6f}}', cover), '\\.?0+$', ''), sets, sets) from bins)
+select line::int as line, text from lines
+union all select ((select max(line) from lines) + i)::int, '' from (select unnest([1, 2]) as i)""")
 def metrics_report_text(spark, sf_dir):
     rows = alignments(spark, sf_dir)
     reads = M.prepared(M.keyed_reads(rows, libraries(spark)))
@@ -323,12 +347,13 @@ def max_base_depth(spark, sf_dir):
 
 
 @query(keyed_sql() + f"""select coalesce(a.record_id, z.record_id) as record_id, case when a.record_id is null or z.record_id is null then 'record_count' when a.flags <> z.flags then 'flags' else 'pos' end as field
-from (select * from v where record_id % 1000 <> 7) a full join (select v.record_id, {FLAGGED} as flags, case when v.record_id % 500 = 3 then pos + 1 else pos end as pos from v left join dup using (record_id)) z using (record_id)
+from (select case when record_id % 1000 = 7 then -1 - record_id else record_id end as record_id, flags, pos from v) a full join (select v.record_id, {FLAGGED} as flags, case when v.record_id % 500 = 3 then pos + 1 else pos end as pos from v left join dup using (record_id)) z using (record_id)
 where a.record_id is null or z.record_id is null or a.flags <> z.flags or a.pos <> z.pos""")
 def compare_alignments(spark, sf_dir):
     rows = alignments(spark, sf_dir).select("record_id", "qname", "flags", "ref_id", "pos")
     marked = flagged_records(spark, sf_dir).withColumn("pos", F.when(F.col("record_id") % 500 == 3, F.col("pos") + 1).otherwise(F.col("pos")))
-    return C.compare_alignments(rows.where("record_id % 1000 <> 7"), marked).select("record_id", "field")
+    rows = rows.withColumn("record_id", F.when(F.col("record_id") % 1000 == 7, -1 - F.col("record_id")).otherwise(F.col("record_id")))
+    return C.compare_alignments(rows, marked).select("record_id", "field")
 
 
 @query(keyed_sql() + f"""select qname, is_duplicate, 'expected' as side from (select qname, flags & 1024 <> 0 as is_duplicate from v except all select v.qname, ({FLAGGED}) & 1024 <> 0 from v left join dup using (record_id))

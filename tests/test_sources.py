@@ -1,6 +1,8 @@
+import json
+
 import pytest
 
-from strandset.cli import compare, picard_arguments, run
+from strandset.cli import compare, compared, picard_arguments, run
 from strandset.operators import checks as C
 from strandset.sources.bam import read_bam, read_sam, write_bam
 from strandset.sources.header import Header
@@ -79,7 +81,43 @@ def test_unsorted_input_of_the_other_style(spark, tmp_path):
 
 def test_picard_arguments():
     words = "--INPUT a.bam --OUTPUT b.bam --METRICS_FILE m --VALIDATION_STRINGENCY LENIENT REMOVE_DUPLICATES=true".split()
-    assert picard_arguments(words) == {"input": "a.bam", "output": "b.bam", "metrics": "m", "remove": True, "sort": True}
-    for bad in (["--NO_SUCH", "1"], ["--INPUT", "a.bam"]):
+    found = picard_arguments(words)
+    assert found.pop("line").startswith("MarkDuplicates --INPUT a.bam --OUTPUT b.bam --METRICS_FILE m --ASSUME_SORT_ORDER queryname --MAX_SEQUENCES")
+    assert found == {"input": "a.bam", "output": "b.bam", "metrics": "m", "remove": True, "sort": True}
+    for bad in (["--NO_SUCH", "1"], ["--INPUT", "a.bam"], [*words, "--ASSUME_SORT_ORDER", "sideways"], [*words, "--BARCODE_TAG"]):
         with pytest.raises(ValueError):
             picard_arguments(bad)
+
+
+def test_picard_options_without_effect():
+    words = "--QUIET --INPUT x/a.bam --FLOW_MODE false --showHidden --OUTPUT b.bam -M m -R r/g.fa --arguments_file f --ASSUME_SORT_ORDER coordinate --help".split()
+    found = picard_arguments(words)
+    line = found.pop("line")
+    assert found == {"input": "x/a.bam", "output": "b.bam", "metrics": "m", "reference": "r/g.fa", "assume": "coordinate", "remove": False, "sort": True}
+    assert "--INPUT a.bam" in line and "--ASSUME_SORT_ORDER coordinate --REFERENCE_SEQUENCE g.fa --MAX_SEQUENCES" in line
+    assert "--REMOVE_DUPLICATES false" in line and line.endswith("--USE_JDK_INFLATER false")
+    assert "assume" not in picard_arguments([*words, "--ASSUME_SORT_ORDER", "unsorted"])
+
+
+def test_compare_command(spark, tmp_path, capsys):
+    source, out, report, result = (str(tmp_path / x) for x in ("in.bam", "out.bam", "report.txt", "result.json"))
+    write_bam(table(spark, [read("a", 0, 0, 9), read("c", 0, 0, 9)]), header(), source)
+    given = picard_arguments(["-I", source, "-O", out, "-M", report])
+    run(spark, given)
+    lines = open(report).read().split("\n")
+    assert lines[1] == "# " + given["line"]
+    other = tmp_path / "other.txt"
+    other.write_text("\n".join(["# of another day" if x.startswith("# ") else x for x in lines]))
+    words = ["--sample-id", "s", "--expected-bam", out, "--actual-bam", out, "--expected-metrics", report, "--actual-metrics", str(other), "--output-json", result]
+    assert compared(words) == 1
+    found = json.load(open(result))
+    assert found["sample_id"] == "s" and found["mismatch"]["class"] == "metrics_text" and found["records_compared"] == 2
+    assert found == json.loads(capsys.readouterr().out)
+    assert compared([*words, "--metrics-data"]) == 0
+    other.write_text(other.read_text().replace("Unknown", "Known"))
+    assert compared([*words, "--metrics-data"]) == 1
+    assert json.load(open(result))["mismatch"]["class"] == "metrics_data"
+    assert compared([out, out]) == 0
+    for bad in ([out], [out, out, "--expected-bam", out]):
+        with pytest.raises(SystemExit):
+            compared(bad)
