@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandset.llm.common import discard, materialize, table
 from strandset.llm.dedup import deduplicate
-from strandset.llm.langid import known_language, learn
+from strandset.llm.langid import known_language, learn_profiles
 from strandset.llm.ngram_join import one_of_each
 from strandset.llm.packing import pack_sequences
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be learned from the labelled ones; what has no letters, or is like none of them, goes."""
-    return known_language(docs, learn(docs))
+    return known_language(docs, learn_profiles(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,8 +119,9 @@ def held_out(key: Column, folds: int = 5, fold: int = 0) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds == fold
 
 
-def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """Prototypes by language, of the rows with a language. Tasks add up their texts; only sums are shuffled."""
+def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, int]]:
+    """By language of the rows with one, the prototype and how many n-grams it adds up. Tasks add up their texts; only sums
+    are shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -131,7 +132,8 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
                 index = {x: i for i, x in enumerate(names)}
                 grams, owner = ngrams(texts)
                 of = np.array([index[x] for x in langs])
-                for name, row in zip(names, bundles(of[owner], grams, len(names)), strict=True):
+                sizes = np.bincount(of[owner], minlength=len(names))
+                for name, row in zip(names, np.column_stack([bundles(of[owner], grams, len(names)), sizes]), strict=True):
                     sums[name] = sums.get(name, 0) + row
         if sums:
             values = [x.astype(np.int64) for x in sums.values()]
@@ -144,11 +146,17 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     found = {}
     for row in sorted(rows, key=lambda x: x.lang):
-        found[row.lang] = np.zeros(DIMENSIONS)
-        found[row.lang][[x.at for x in row.cells]] = [x.value for x in row.cells]
+        sums = np.zeros(DIMENSIONS + 1)
+        sums[[x.at for x in row.cells]] = [x.value for x in row.cells]
+        found[row.lang] = sums[:DIMENSIONS], int(sums[DIMENSIONS])
     return found
 
 
+def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
+    """Prototypes by language."""
+    return {name: vector for name, (vector, _) in learn_profiles(df, text, lang).items()}
+
+
 def classify(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (key, lang_pred, score)."""
     names = list(prototypes)
@@ -183,22 +191,29 @@ def language_predictions(df: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def known_language(df: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.1, evidence: int = 50) -> DataFrame:
-    """The rows of df, all columns, without those of no letter, or of `evidence` n-grams or more and a cosine under `least`."""
+def known_language(df: DataFrame, profiles: dict[str, tuple[np.ndarray, int]], share: float = 0.25, errors: float = 3.0) -> DataFrame:
+    """The rows of df, all columns, without those of no letter, or like no learned language.
+
+    An n-gram's likeness to a language is its projection on the prototype. Over a text of any length its mean estimates the
+    language's own mean if the text is of that language, and 0 if it is of none; the error is the text's norm over
+    sqrt(DIMENSIONS) and its n-grams, which counts repeated n-grams as what they are. A text goes if, for every language,
+    its mean and `errors` standard errors are under `share` of the language's own mean: so a brief one needs clearer
+    evidence. If nothing was learned, all texts with a letter stay."""
     names = df.columns
-    matrix = prototypes
+    vectors = {name: v / np.linalg.norm(v) for name, (v, _) in profiles.items()}
+    own = np.array([np.linalg.norm(v) / n for v, n in profiles.values()])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
-        unit = np.stack([v / np.linalg.norm(v) for v in matrix.values()], axis=1) if matrix else np.zeros((DIMENSIONS, 0))
         for batch in batches:
             for part, texts in text_slices(batch, at, CHUNK_CHARS):
                 grams, owner = ngrams(texts)
-                enough = np.bincount(owner, minlength=len(texts))
-                keep = enough > 0
-                if matrix:
-                    vectors = bundles(owner, grams, len(texts))
-                    keep &= (enough < evidence) | ((vectors @ unit).max(axis=1) >= least * np.linalg.norm(vectors, axis=1))
+                size = np.bincount(owner, minlength=len(texts))
+                keep = size > 0
+                if vectors:
+                    sums = bundles(owner, grams, len(texts))
+                    highest = sums @ np.stack(list(vectors.values()), axis=1) + errors * np.linalg.norm(sums, axis=1)[:, None] / np.sqrt(DIMENSIONS)
+                    keep &= (highest >= share * size[:, None] * own).any(axis=1)
                 yield part.filter(pa.array(keep))
         trim()
 

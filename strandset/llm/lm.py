@@ -15,7 +15,7 @@ buckets by hash, so a hot word's bigrams spread over all buckets and a block sen
 training counts of all blocks and replies to each; what a context's bigrams sum to goes to its word's bucket. From the
 replies a block builds the part of the automaton that its texts can reach, and traverses it.
 
-Counts come from all training texts whole. The registered query keeps every bigram seen (keep 1); a larger `keep` is a cutoff. Words and bigrams have 56-bit hashes.
+Counts come from all training texts whole. Every bigram seen is kept (`keep` 1); a larger `keep` is a cutoff. Words and bigrams have 56-bit hashes.
 
 Defined results: a null or empty text is one end token; null ids count as the empty string for the fold; repeated rows
 count and are scored each; without training texts every token has probability 1; an empty table gives an empty table;
@@ -45,8 +45,6 @@ WORD_MASK = np.uint64((1 << WORD_BITS) - 1)
 SPARE_BITS = np.uint64(64 - WORD_BITS)
 SPARE = np.uint64((1 << (64 - WORD_BITS)) - 1)
 END = np.uint64(0)
-#: The cutoff of corpus_scores where its caller names none.
-KEEP = 2
 #: Tokens for each bucket, and the least number of buckets.
 BUCKET, BUCKETS = 1 << 20, 32
 
@@ -314,6 +312,6 @@ def score_texts(df: DataFrame, held: Column, key: str = "doc_id", text: str = "t
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_block(stats, keep), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def corpus_scores(df: DataFrame, keep: int = KEEP) -> DataFrame:
+def corpus_scores(df: DataFrame, keep: int = 1) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
     return score_texts(df, held, keep=keep)

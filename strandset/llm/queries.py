@@ -45,7 +45,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_scores(table(spark, sf_dir, "documents"), keep=1)
+    return corpus_scores(table(spark, sf_dir, "documents"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,24 @@ select doc_id,
        doc_id = first_value(doc_id) over w as kept,
        text_sha256
 from n window w as (partition by body order by size desc, doc_id)
+""",
+    "op6_ngram_join": r"""
+with recursive t as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+  from documents
+),
+s as (
+  select doc_id, case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+                      else list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) end as grams
+  from t
+),
+g as (select doc_id, len(grams) as size, unnest(grams) as gram from s),
+o as (select a.doc_id as x, b.doc_id as y, any_value(a.size) as xs, any_value(b.size) as ys, count(*) as shared from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select x, y from o where 100 * shared >= 90 * (xs + ys - shared)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id as x, doc_id as y from s union select r.x, e.y from r join e on r.y = e.x),
+c as (select x, min(y) as component_id from r group by x)
+select doc_id, cast(len(grams) as bigint) as n_shingles, component_id from s join c on s.doc_id = c.x
 """,
     "op3_warc": """
 with p as (select page_id, encode(coalesce(html, '')) as payload from pages),

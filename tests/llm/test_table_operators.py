@@ -13,6 +13,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from strandset.llm import ann, components, dedup, lm, ngram_join, queries, warc
+from strandset.llm.common import materialize
 from strandset.llm.words import word_hashes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -228,7 +229,7 @@ def test_language_model(spark, monkeypatch):
     rows += [(90, None), (91, "unseen words here"), (91, "unseen words here"), (None, "a b")]
     token = [[*words(t), "\n"] for _, t in rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
-    got = lm.corpus_scores(documents(spark, rows).repartition(3)).collect()
+    got = lm.corpus_scores(documents(spark, rows).repartition(3), keep=2).collect()
     assert len(got) == len(rows)
     c, pairs = Counter(), Counter()
     for t, h in zip(token, held, strict=True):
@@ -344,6 +345,41 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in got.collect()} == set(range(30))
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(5)
+    vocabulary = "the river stone water house that with from and people town".split()
+    text = " ".join(rng.choices(vocabulary, k=60))
+    long = " ".join(rng.choices(vocabulary, k=60000))
+    rows = [(1, text, "en"), (1, text, "en"), (None, text + " ", None), (None, None, "en"), (2, "", None), (3, long, None), (3, long + "\n", "en"), (4, "the", "en"), (5, text.replace("river", "lake", 1), "en")]
+    made = "doc_id bigint, text string, lang string"
+    for name, these in (("odd", rows), ("empty", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(these, made).selectExpr("*", "'f' as file", "3 as row", "9 as stays", "'k' as key", "1 as start").write.parquet(folder + "/documents.parquet")
+        docs = spark.read.parquet(folder + "/documents.parquet")
+        columns = docs.columns
+        for _, stage in pipeline.STAGES[:-1]:
+            docs = materialize(stage(spark, docs, folder), "odd")
+            assert docs.columns == columns
+        kept = [(r.doc_id, r.file, r.row, r.stays, r.key, r.start) for r in docs.collect()]
+        # of the equal texts the longest stays, which has no id; of those like it, the smallest id
+        assert sorted(x[0] for x in kept) == ([3, 4, 5] if these else [])
+        assert all(x[1:] == ("f", 3, 9, "k", 1) for x in kept)
+        got = pipeline.run(spark, folder).collect()
+        assert {r.doc_id for r in got} == ({3, 4, 5} if these else set())
+
+
+def test_join_equals_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("a b C d é f".split(), k=rng.randint(0, 40))) for _ in range(60)]
+    rows = [*enumerate(texts + [t + " x" for t in texts[:20]] + [texts[0].upper(), "\x0b a\tB ", "a b", "A B", ""]), (99, None)]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.sql(queries.ORACLE_SQL["op6_ngram_join"].replace("from documents", f"from '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in queries.op6_ngram_join(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len({c for *_, c in got}) < len(got)
+
+
 def test_word_hashes_are_told_apart_by_all_their_bytes():
     swapped = str.maketrans("ab", "ba")
     word = "a"

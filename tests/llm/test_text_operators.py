@@ -180,6 +180,36 @@ def test_language_id(spark):
     assert langid.language_predictions(unlabelled).first().lang_pred == "und"
 
 
+def test_texts_like_no_language_go_by_one_rule_at_every_length(spark):
+    rng = random.Random(3)
+    english = "the of and this that with from water river stone house people town which when their there would other into".split()
+    german = "der die und das nicht mit wasser fluss stein über haus leute stadt welche wenn dort andere würde ihre einer".split()
+    learned = [(" ".join(rng.choices(w, k=60)), x) for w, x in ((english, "en"), (german, "de")) for _ in range(40)]
+    profiles = langid.learn_profiles(documents(spark, *map(list, zip(*learned, strict=True))))
+    vectors = langid.learn(documents(spark, *map(list, zip(*learned, strict=True))))
+    for name, words in (("en", english), ("de", german)):
+        grams, owner = langid.ngrams([t for t, x in learned if x == name])
+        vector, size = profiles[name]
+        assert size == len(grams) and (vector == vectors[name]).all() and (vector == langid.bundles(owner * 0, grams, 1)[0]).all()
+    stay = [" ".join(rng.choices(w, k=k)) for w in (english, german) for k in (1, 2, 3, 5, 10, 30, 100, 20000)] + ["the river " * 500]
+    gone = [None, "", "12 34 !"] + ["".join(rng.choices("бвгджзклмнпрст ", k=k)) for k in (200, 1000, 50000)] + ["".join(rng.choices("qxzjkvbpy ", k=400))]
+    df = documents(spark, stay + gone)
+    kept = langid.known_language(df, profiles)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == list(range(len(stay)))
+    assert {r.doc_id for r in langid.known_language(df, {}).collect()} == set(range(len(stay) + len(gone))) - {len(stay), len(stay) + 1, len(stay) + 2}
+    assert langid.known_language(df.limit(0), profiles).count() == 0
+    twice = df.unionAll(df).selectExpr("cast(null as bigint) as doc_id", "text", "1 as at", "lang")
+    assert langid.known_language(twice, profiles).count() == 2 * len(stay)
+
+
+def test_ties_go_to_the_first_language_and_rows_repeat(spark):
+    rows = [(1, "stone river", "b"), (1, "stone river", "b"), (2, "stone river", "a"), (2, "stone river", "a"), (None, "stone river", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = langid.classify(df, langid.learn(df)).collect()
+    assert len(got) == 5 and {r.lang_pred for r in got} == {"a"} and all(abs(r.score - 1) < 1e-9 for r in got)
+    assert [r.held_out for r in langid.language_predictions(df).where("doc_id is null").collect()] == [zlib.crc32(b"") % 5 == 0]
+
+
 def test_ngram_bundles_equal_the_definition():
     texts = ["Ab ça", "x", "--", "a b"]
     grams, owner = langid.ngrams(texts)
