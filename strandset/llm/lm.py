@@ -10,10 +10,12 @@ sum to 1 after any h. Each word is a state; kept bigrams are its arcs, which lea
 arc, of weight l(h), leads to the root, whose arcs are the words. Traversal carries the state from token to token.
 
 The model is never gathered in one place. Texts become blocks of about BLOCK tokens (word hashes, each once, and indices
-of the tokens), written once. A block asks for the counts of its bigrams and words: sorted hashes, packed, dealt to
-buckets by hash, so a hot word's bigrams spread over all buckets and a block sends one row to each. A bucket adds up the
-training counts of all blocks and replies to each; what a context's bigrams sum to goes to its word's bucket. From the
-replies a block builds the part of the automaton that its texts can reach, and traverses it.
+of the tokens), written once. A block asks for the counts of its bigrams: sorted hashes, packed, dealt to buckets by hash,
+so a hot word's bigrams spread over all buckets and a block sends one row to each. A bucket adds up the training counts of
+all blocks and replies to each; of the blocks that asked for a kept bigram it names one the owner. Requests need no
+contexts, since the owner knows them: it adds up its own bigrams by first word, and asks for its words with these sums, so
+each bigram counts once. From the replies a block builds the part of the automaton that its texts can reach, and
+traverses it.
 
 Counts come from all training texts whole. Every bigram seen is kept (`keep` 1); a larger `keep` is a cutoff. Words and bigrams have 56-bit hashes.
 
@@ -145,37 +147,72 @@ class Block:
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         self.pair = place[pair]
-        self.hashes, self.contexts = hashes[order], self.words[first][order]
+        #: Hashes of the distinct bigrams, and the indices of their first words.
+        self.hashes, self.contexts = hashes[order], first[order]
 
     def counts(self, index: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(index[self.training], minlength=n)
 
 
+def spans(hashes: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, start, stop) of the buckets that ascending hashes reach."""
+    cut = np.append(np.searchsorted(hashes, edges), len(hashes)).tolist()
+    return [(i, a, b) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+
+
 def asked(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, bucket, block, hashes, contexts, counts): bigrams (kind 2) and words (kind 1) of blocks, by bucket."""
+    """Rows (bucket, block, hashes, counts): the bigrams of blocks, by bucket."""
     edges = bucket_edges(buckets)
     for batch in batches:
         for row in batch.to_pylist():
             block = Block(row)
-            for kind, hashes, contexts, counts in ((2, block.hashes, block.contexts, block.counts(block.pair, len(block.hashes))), (1, block.words << SPARE_BITS, None, block.counts(block.stream, len(block.words)))):
-                cut = np.append(np.searchsorted(hashes, edges), len(hashes)).tolist()
-                spans = [(i, a, b) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([kind] * len(spans), pa.int32()),
-                        pa.array([i for i, _, _ in spans], pa.int64()),
-                        pa.array([block.number] * len(spans), pa.int64()),
-                        pa.array([pack_sorted(hashes[a:b] >> SPARE_BITS) for _, a, b in spans], pa.binary()),
-                        pa.array([b"" if contexts is None else narrow(contexts[a:b], WORD_BITS // 8) for _, a, b in spans], pa.binary()),
-                        pa.array([squeeze(counts[a:b]) for _, a, b in spans], pa.binary()),
-                    ],
-                    ["kind", "bucket", "block", "hashes", "contexts", "counts"],
-                )
-
-
-ASKED = "kind int, bucket bigint, block bigint, hashes binary, contexts binary, counts binary"
-#: kind 0: sums of a bucket; 1 and 2: replies to a block about words and bigrams; 3: sums of contexts, for word buckets.
-TOLD = "kind int, bucket bigint, block bigint, hashes binary, counts binary, kept binary, types binary, total bigint, seen bigint, once bigint, twice bigint"
+            counts, parts = block.counts(block.pair, len(block.hashes)), spans(block.hashes, edges)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _, _ in parts], pa.int64()),
+                    pa.array([block.number] * len(parts), pa.int64()),
+                    pa.array([pack_sorted(block.hashes[a:b] >> SPARE_BITS) for _, a, b in parts], pa.binary()),
+                    pa.array([squeeze(counts[a:b]) for _, a, b in parts], pa.binary()),
+                ],
+                ["bucket", "block", "hashes", "counts"],
+            )
+
+
+ASKED = "bucket bigint, block bigint, hashes binary, counts binary"
+
+
+def asked_words(buckets: int):
+    """Rows (bucket, block, hashes, counts, kept, types): the words of a block, by bucket, with the totals and the number
+    of those kept bigrams that begin with the word and are the block's own."""
+    edges = bucket_edges(buckets)
+
+    def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        block = Block(blocks.to_pylist()[0])
+        rows = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
+        totals = np.concatenate([unsqueeze(r["counts"]) for r in rows])
+        own = np.concatenate([unsqueeze_bits(r["owned"], b - a) for r, (_, a, b) in zip(rows, spans(block.hashes, edges), strict=True)])
+        context, n = block.contexts[own], len(block.words)
+        counts, types = block.counts(block.stream, n), np.bincount(context, minlength=n)
+        kept = np.bincount(context, weights=totals[own], minlength=n).astype(np.int64)
+        parts = spans(block.words << SPARE_BITS, edges)
+        return pa.table(
+            [
+                pa.array([i for i, _, _ in parts], pa.int64()),
+                pa.array([block.number] * len(parts), pa.int64()),
+                pa.array([pack_sorted(block.words[a:b]) for _, a, b in parts], pa.binary()),
+                pa.array([squeeze(counts[a:b]) for _, a, b in parts], pa.binary()),
+                pa.array([squeeze_wide(kept[a:b]) for _, a, b in parts], pa.binary()),
+                pa.array([squeeze(types[a:b]) for _, a, b in parts], pa.binary()),
+            ],
+            names=["bucket", "block", "hashes", "counts", "kept", "types"],
+        )
+
+    return run
+
+
+ASKED_WORDS = "bucket bigint, block bigint, hashes binary, counts binary, kept binary, types binary"
+#: kind 0: sums of a bucket; 1 and 2: replies to a block about words and bigrams.
+TOLD = "kind int, bucket bigint, block bigint, counts binary, owned binary, kept binary, types binary, total bigint, seen bigint, once bigint, twice bigint"
 TOLD_NAMES = [x.split()[0] for x in TOLD.split(", ")]
 TOLD_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
 
@@ -194,32 +231,32 @@ def add_up(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return unique, first, inverse, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(unique)).astype(np.int64)
 
 
-def count_bigrams(buckets: int, keep: int):
-    edges = bucket_edges(buckets)
-
+def count_bigrams(keep: int):
     def run(asked: pa.Table) -> pa.Table:
         rows = asked.to_pylist()
         hashes = [unpack_sorted(r["hashes"]) << SPARE_BITS for r in rows]
         _, first, inverse, totals = add_up(hashes, [unsqueeze(r["counts"]) for r in rows])
         kept = totals >= max(keep, 1)  # of held-out texts only: 0
+        owned = np.zeros(len(inverse), bool)
+        owned[first[kept]] = True
         out = [summed(rows[0]["bucket"], totals)]
         ends = np.cumsum([len(x) for x in hashes])
         replies = np.where(kept, totals, 0)[inverse]
         for row, a, b in zip(rows, np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
-            out.append({"kind": 2, "bucket": row["bucket"], "block": row["block"], "counts": squeeze(replies[a:b])})
-        contexts = np.concatenate([widen(r["contexts"], WORD_BITS // 8) for r in rows])[first[kept]]
-        words, index = np.unique(contexts, return_inverse=True)
-        amount, types = np.bincount(index, weights=totals[kept], minlength=len(words)).astype(np.int64), np.bincount(index, minlength=len(words))
-        placed = words << SPARE_BITS
-        cut = np.append(np.searchsorted(placed, edges), len(placed)).tolist()
-        for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
-            if b > a:
-                out.append({"kind": 3, "bucket": i, "hashes": pack_sorted(placed[a:b] >> SPARE_BITS), "kept": squeeze_wide(amount[a:b]), "types": squeeze_wide(types[a:b])})
+            out.append({"kind": 2, "bucket": row["bucket"], "block": row["block"], "counts": squeeze(replies[a:b]), "owned": squeeze_bits(owned[a:b])})
         return told(out)
 
     return run
 
 
+def squeeze_bits(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.packbits(values).tobytes())
+
+
+def unsqueeze_bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), count=n).astype(bool)
+
+
 def squeeze_wide(values: np.ndarray) -> bytes:
     """Non-negative 64-bit integers."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
@@ -231,18 +268,16 @@ def unsqueeze_wide(data: bytes) -> np.ndarray:
 
 
 def count_words(asked: pa.Table) -> pa.Table:
-    rows = sorted(asked.to_pylist(), key=lambda r: r["kind"])
-    blocks = [r for r in rows if r["kind"] == 1]
-    hashes = [unpack_sorted(r["hashes"]) << SPARE_BITS for r in blocks]
-    unique, _, inverse, totals = add_up(hashes, [unsqueeze(r["counts"]) for r in blocks])
+    rows = asked.to_pylist()
+    hashes = [unpack_sorted(r["hashes"]) << SPARE_BITS for r in rows]
+    unique, _, inverse, totals = add_up(hashes, [unsqueeze(r["counts"]) for r in rows])
     kept, types = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
-    for r in rows[len(blocks) :]:  # every context is a word of some block
-        at = np.searchsorted(unique, unpack_sorted(r["hashes"]) << SPARE_BITS)
-        kept[at] += unsqueeze_wide(r["kept"])
-        types[at] += unsqueeze_wide(r["types"])
-    out = [summed(rows[0]["bucket"], totals)]
     ends = np.cumsum([len(x) for x in hashes])
-    for row, a, b in zip(blocks, np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+    for row, a, b in zip(rows, np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+        kept[inverse[a:b]] += unsqueeze_wide(row["kept"])  # a block names a word once
+        types[inverse[a:b]] += unsqueeze(row["types"])
+    out = [summed(rows[0]["bucket"], totals)]
+    for row, a, b in zip(rows, np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
         which = inverse[a:b]
         out.append({"kind": 1, "bucket": row["bucket"], "block": row["block"], "counts": squeeze_wide(totals[which]), "kept": squeeze_wide(kept[which]), "types": squeeze_wide(types[which])})
     return told(out)
@@ -299,11 +334,11 @@ def score_texts(df: DataFrame, held: Column, key: str = "doc_id", text: str = "t
     tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(BUCKETS, math.ceil(tokens / BUCKET))
     requests = blocks.mapInArrow(lambda batches: asked(batches, buckets), ASKED)
-    bigrams = materialize(requests.where("kind = 2").groupBy("bucket").applyInArrow(count_bigrams(buckets, keep), TOLD), "lm-bigrams")
+    bigrams = materialize(requests.groupBy("bucket").applyInArrow(count_bigrams(keep), TOLD), "lm-bigrams")
     release(blocks.sparkSession)
-    contexts = bigrams.where("kind = 3").select("kind", "bucket", "block", "hashes", "counts", "kept", "types")
-    words = requests.where("kind = 1").select("kind", "bucket", "block", "hashes", "counts", F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("binary").alias("types"))
-    unigrams = materialize(words.unionByName(contexts).groupBy("bucket").applyInArrow(count_words, TOLD), "lm-words")
+    owned = bigrams.where("kind = 2").select("bucket", "block", "counts", "owned")
+    words = blocks.groupBy("block").cogroup(owned.groupBy("block")).applyInArrow(asked_words(buckets), ASKED_WORDS)
+    unigrams = materialize(words.groupBy("bucket").applyInArrow(count_words, TOLD), "lm-words")
     release(blocks.sparkSession)
     sums = lambda df: df.where("kind = 0").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "seen", "once", "twice")]).first()
     one, two = sums(unigrams), sums(bigrams)

@@ -282,6 +282,36 @@ def test_language_model_keeps_bigrams_seen_once(spark, tmp_path):
         assert abs(got[i] - sum(math.log10(p(w, h)) for h, w in zip(["\n", *t], t, strict=False))) < 1e-9
 
 
+def test_language_model_asks_without_contexts(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randint(0, 2000)}" for _ in range(200))) for i in range(100)]
+    df = documents(spark, rows).select("doc_id", F.lit(False), "text").coalesce(1)
+    asked = df.mapInArrow(lm.make_blocks, lm.BLOCK_SCHEMA).mapInArrow(lambda batches: lm.asked(batches, 32), lm.ASKED)
+    sent = asked.agg(*[F.sum(F.length(name)) for name, kind in asked.dtypes if kind == "binary"]).first()
+    pairs = {p for _, t in rows for p in zip(["\n", *t.split()], [*t.split(), "\n"], strict=True)}
+    assert sum(sent) < 8 * len(pairs)  # a hash's difference, here 6 bytes, and a packed count
+
+
+def test_language_model_adds_up_contexts_across_blocks(spark):
+    """Bigrams that several blocks ask for count once in what a word's bigrams sum to."""
+    rows = [(i, t) for i, t in enumerate(["a b a c", "a b", "c a b", "d a d", "", "b a e", "a"] * 3)]
+    token = [[*words(t), "\n"] for _, t in rows]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    pairs = Counter(p for t, h in zip(token, held, strict=True) if not h for p in zip(["\n", *t], t, strict=False))
+    df = documents(spark, rows)
+    for keep in (1, 2, 4):
+        one, each = ({r.doc_id: r.score for r in lm.corpus_scores(x, keep=keep).collect()} for x in (df.coalesce(1), df.repartition(9)))
+        assert one == each and len(one) == len(rows)
+    c = Counter(w for t, h in zip(token, held, strict=True) if not h for w in t)
+    n, v, cc, pc = sum(c.values()), len(c), Counter(c.values()), Counter(pairs.values())
+    d1, d2 = lm.discount(cc[1], cc[2]), lm.discount(pc[1], pc[2])
+    p1 = lambda w: max(c[w] - d1, 0) / n + d1 * v / n / (v + 1)
+    kept = lambda h: [k for (x, _), k in pairs.items() if x == h and k >= 4]
+    p = lambda w, h: ((pairs[h, w] - d2) / c[h] if pairs[h, w] >= 4 else 0) + (1 - (sum(kept(h)) - d2 * len(kept(h))) / c[h] if c[h] else 1) * p1(w)
+    for (i, _), t in zip(rows, token, strict=True):
+        assert abs(each[i] - sum(math.log10(p(w, h)) for h, w in zip(["\n", *t], t, strict=False))) < 1e-9
+
+
 def test_language_model_without_training(spark):
     got = lm.score_texts(documents(spark, [(1, "a b"), (2, None)]), F.lit(True)).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got} == {(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)}
