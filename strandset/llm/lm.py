@@ -334,14 +334,15 @@ def score_texts(df: DataFrame, held: Column, key: str = "doc_id", text: str = "t
     tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(BUCKETS, math.ceil(tokens / BUCKET))
     requests = blocks.mapInArrow(lambda batches: asked(batches, buckets), ASKED)
+    sums = lambda df: df.where("kind = 0").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "seen", "once", "twice")]).first()
     bigrams = materialize(requests.groupBy("bucket").applyInArrow(count_bigrams(keep), TOLD), "lm-bigrams")
+    two = sums(bigrams)  # before release: shuffle files of the last query are seen to stay until another has run
     release(blocks.sparkSession)
     owned = bigrams.where("kind = 2").select("bucket", "block", "counts", "owned")
     words = blocks.groupBy("block").cogroup(owned.groupBy("block")).applyInArrow(asked_words(buckets), ASKED_WORDS)
     unigrams = materialize(words.groupBy("bucket").applyInArrow(count_words, TOLD), "lm-words")
+    one = sums(unigrams)
     release(blocks.sparkSession)
-    sums = lambda df: df.where("kind = 0").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "seen", "once", "twice")]).first()
-    one, two = sums(unigrams), sums(bigrams)
     stats = {"n": one[0], "v": one[1], "d1": discount(one[2], one[3]), "d2": discount(two[2], two[3])}
     replies = bigrams.where("kind = 2").unionByName(unigrams.where("kind = 1")).select("kind", "bucket", "block", "counts", "kept", "types")
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_block(stats, keep), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
